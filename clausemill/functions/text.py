@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from clausemill.functions.binding import let
+
 # They must equal what callers already store.
 UNTITLED_SECTION = "Untitled section"
 UNNAMED_SECTION = "未命名章节"
@@ -31,8 +33,10 @@ def rstrip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; one final line break opens no further line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAK, -1),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def repair_markdown(text: Column) -> Column:
@@ -109,13 +113,16 @@ def unwrap_bracket_formula(text: Column) -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     """Drop an opening fence line and a closing fence line, then trim."""
-    found = lines(text)
-    opened = F.when(F.element_at(found, 1).startswith("```"), F.slice(found, 2, F.size(found))).otherwise(found)
-    closed = F.when(
-        (F.size(opened) > 0) & (strip(F.try_element_at(opened, F.lit(-1))) == "```"),
-        F.slice(opened, 1, F.size(opened) - 1),
-    ).otherwise(opened)
-    return F.when(text == "", "").otherwise(strip(F.array_join(closed, "\n")))
+
+    def drop_first(found: Column) -> Column:
+        return F.when(F.try_element_at(found, F.lit(1)).startswith("```"), F.slice(found, 2, F.size(found))).otherwise(found)
+
+    def drop_last(found: Column) -> Column:
+        fence = strip(F.try_element_at(found, F.lit(-1))) == "```"
+        return F.when(fence, F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+
+    body = let(let(lines(text), drop_first), drop_last)
+    return F.when(text == "", "").otherwise(strip(F.array_join(body, "\n")))
 
 
 def split_inline_formula(text: Column) -> Column:
@@ -181,10 +188,11 @@ def find_tables(text: Column) -> Column:
 
 def replace_tables(text: Column, replacements: Column) -> Column:
     """Put ``replacements[k]`` where the k-th table block stands; a null keeps the block."""
-    outside = F.split(text, TABLE_BLOCK, -1)
     filled = F.zip_with(find_tables(text), replacements, lambda block, new: F.coalesce(new, block))
-    padded = F.concat(F.slice(filled, 1, F.size(outside) - 1), F.array(F.lit("")))
-    return F.array_join(F.zip_with(outside, padded, lambda a, b: F.concat(a, b)), "")
+    pairs = F.zip_with(
+        F.split(text, TABLE_BLOCK, -1), filled, lambda outside, table: F.concat(outside, F.coalesce(table, F.lit("")))
+    )
+    return F.array_join(pairs, "")
 
 
 def storage_path(path: Column) -> Column:

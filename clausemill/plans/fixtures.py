@@ -52,3 +52,49 @@ md_lines as (
   from (select doc_id, string_split(md, chr(10)) as ls from md_docs), unnest(range(1, len(ls) + 1)) as u(i)
   where not (i = len(ls) and ls[i] = ''))
 """
+
+_WS = r"[\s\pZ]"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+# Chunks of md_docs, stated with windows over lines.
+_LAST = ", ".join(
+    f"max(case when h and level = {k} then i end) over w as p{k}, "
+    f"arg_max(case when h and level = {k} then title end, case when h and level = {k} then i end) over w as t{k}"
+    for k in range(1, 7)
+)
+_KEEP = ", ".join(
+    f"case when p{k} is not null and p{k} > greatest(-1, {', '.join(f'coalesce(p{j}, -1)' for j in range(1, k)) or '-1'}) then t{k} end as k{k}"
+    for k in range(1, 7)
+)
+_PARTS = ", ".join(f"case when k{k} is not null then '{k}' || chr(1) || k{k} end" for k in range(1, 7))
+_PATH = ", ".join(rf"regexp_replace(k{k}, '\s*\[\d+(?:-\d+)?\]$', '')" for k in range(1, 7))
+MD_CHUNKS = f"""
+c_lines as (select doc_id, i - 1 as i, {sql_strip('ls[i]')} as s from (select doc_id, string_split(md, chr(10)) ls from md_docs), unnest(range(1, len(ls) + 1)) as u(i)),
+c_fence as (select *, regexp_matches(s, '^(```|~~~)') and not regexp_matches(s, '^```.*```') as f from c_lines),
+c_code as (select *, f or coalesce(sum(f::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as code from c_fence),
+c_head as (select *, not code and regexp_matches(s, '^#{{1,12}}( |$)') as h, length(regexp_extract(s, '^(#+)', 1)) as level from c_code),
+c_title as (select *, case when h then {sql_strip('s[level + 1:]')} end as title, sum(h::int) over (partition by doc_id order by i) as sec from c_head),
+c_last as (select *, {_LAST} from c_title window w as (partition by doc_id order by i)),
+c_keep as (select *, {_KEEP} from c_last),
+c_secs as (select doc_id, sec, min(i) as line_idx, first(concat_ws(chr(2), {_PARTS})) as parts, first(concat_ws('/', {_PATH})) as structure_path,
+   regexp_replace(regexp_replace(string_agg(case when s = '' and not code then chr(57344) else s end, chr(10) order by i),
+      '^(' || chr(57344) || '\n?)+|(\n?' || chr(57344) || ')+$', '', 'g'), '\n(' || chr(57344) || '\n)+', '  ' || chr(10), 'g') as body
+   from c_keep group by doc_id, sec),
+c_full as (select *, case when parts = '' then 0 else len(string_split(parts, chr(2))) end as n from c_secs where body <> ''),
+c_lag as (select *, lag(parts) over (partition by doc_id order by sec) as pp, lag(n) over (partition by doc_id order by sec) as pn, lag(body) over (partition by doc_id order by sec) as pb from c_full),
+c_flag as (select *, case when pp is null then 1 when pp = parts or (pn < n and regexp_matches(pb, '(^|\n)#[^\n]*$')) then 0 else 1 end as opens from c_lag),
+c_no as (select *, sum(opens) over (partition by doc_id order by sec) - 1 as original_index from c_flag),
+md_chunks as (select doc_id, original_index::int as original_index, min(line_idx) as line_idx, string_agg(body, '  ' || chr(10) order by sec) as page_content,
+   arg_max(structure_path, sec) as structure_path, arg_max(parts, sec) as parts, arg_max(n, sec)::int as structure_level from c_no group by doc_id, original_index)
+"""
+
+MD_FILES = r"""
+f_marks as (select doc_id, i as start_line, regexp_extract(line, '^#\s+FILE:\s*([^|]+?)(?:\s*\|\s*(.+))?$', 1) as file_name,
+   nullif(regexp_extract(line, '^#\s+FILE:\s*([^|]+?)(?:\s*\|\s*(.+))?$', 2), '') as file_class, n_lines
+   from (select *, max(i) over (partition by doc_id) + 1 as n_lines from md_lines) where regexp_matches(line, '^#\s+FILE:\s*([^|]+?)(?:\s*\|\s*(.+))?$')),
+md_files as (select doc_id, start_line, coalesce(lead(start_line) over (partition by doc_id order by start_line), n_lines) - 1 as end_line, file_name, file_class from f_marks)
+"""
