@@ -4,7 +4,7 @@ import importlib
 
 from clausemill.plans.registry import ORACLE, QUERIES
 
-for _name in ("text", "structure"):
+for _name in ("text", "structure", "ingest"):
     importlib.import_module(f"clausemill.plans.q_{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
