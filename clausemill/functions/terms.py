@@ -1,14 +1,21 @@
-"""Tokens and term counts of one text, inside the row."""
+"""Tokens and term counts of one text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
 
-from clausemill.functions.binding import let
+import pandas as pd
+from pyspark.sql import Column, functions as F
 
 # Domain terms that must stay whole.
 FORCED_TERMS = ("等待期", "责任免除", "免责条款", "既往症")
-TOKEN = "|".join(FORCED_TERMS) + r"|\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+# Han by code range; a script test per character would search the Unicode tables.
+_HAN = ((0x2E80, 0x2FD5), (0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAD9), (0x20000, 0x323AF))
+HAN = "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in _HAN)
+TOKEN = rf"(?:[^\P{{L}}{HAN}]++|[^\P{{N}}{HAN}]++)+|" + "|".join(FORCED_TERMS) + f"|[{HAN}]"
+_PY_TOKEN = re.compile(rf"[^\W_{HAN}]+|" + "|".join(FORCED_TERMS) + f"|[{HAN}]")
 
 
 def tokenize(text: Column) -> Column:
@@ -16,24 +23,22 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Array of ``(term, tf)``: sort the tokens and measure the runs, no shuffle."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(s)),
-            lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))),
-        )
-        return let(
-            starts,
-            lambda p: F.transform(
-                p,
-                lambda i, k: F.struct(
-                    F.element_at(s, i).alias("term"),
-                    (F.coalesce(F.try_element_at(p, k + 2), F.size(s) + 1) - i).alias("tf"),
-                ),
-            ),
+def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        counts = [Counter(_PY_TOKEN.findall(t)) if t else Counter() for t in batch]
+        yield pd.DataFrame(
+            {
+                "doc_len": [sum(c.values()) for c in counts],
+                "terms": [list(c) for c in counts],
+                "tfs": [list(c.values()) for c in counts],
+            }
         )
 
-    empty = F.expr("cast(array() as array<struct<term:string,tf:int>>)")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs)).otherwise(empty)
+
+def term_counts(text: Column) -> Column:
+    """``(doc_len, terms, tfs)``: token count, distinct terms and their counts.
+
+    Counting inside a row needs a sort and a lambda call per token in the JVM; an
+    Arrow batch does it in about a third of the time.
+    """
+    return F.pandas_udf(_count, "struct<doc_len:int,terms:array<string>,tfs:array<int>>")(text)

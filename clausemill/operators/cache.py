@@ -6,12 +6,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from clausemill.operators.groups import group_starts, map_sorted_groups
+
 CHUNK_TTLS = 16
 
 
-def _next_miss(ts: np.ndarray, ttl: int) -> np.ndarray:
-    """For each event, the place of the first event that comes after its time to live."""
-    return np.searchsorted(ts, ts + ttl, side="right")
+class _Chunks:
+    """Arrays over whole (key, chunk) groups, with times made comparable across groups."""
+
+    def __init__(self, rows: pd.DataFrame, column: str, width: int, ttl: int):
+        self.starts = group_starts(rows, ["k", "chunk"])
+        self.sizes = np.diff(np.append(self.starts, len(rows)))
+        self.ends = self.starts + self.sizes
+        self.group = np.repeat(np.arange(len(self.starts)), self.sizes)
+        self.chunk = rows["chunk"].to_numpy()[self.starts]
+        self.stamps = rows[column].to_numpy()
+        self.width, self.ttl = width, ttl
+        self.span = width + 2 * ttl + 2
+        if len(self.starts) * self.span > 2**62:
+            raise ValueError("time to live too large for this batch size; lower maxRecordsPerBatch")
+        self.code = self.group * self.span + (self.stamps - self.chunk[self.group] * width)
+
+    def first_after(self, groups: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Place of the first row of each group later than a time; the group's end if there is none."""
+        offset = np.clip(times - self.chunk[groups] * self.width, -1, self.span - 1)
+        at = np.searchsorted(self.code, groups * self.span + offset, side="right")
+        return np.clip(at, self.starts[groups], self.ends[groups])
+
+    def next_miss(self) -> np.ndarray:
+        return self.first_after(self.group, self.stamps + self.ttl)
 
 
 def query_cache(log: DataFrame, key: str, ts: str, ttl: int, chunk_ttls: int = CHUNK_TTLS) -> DataFrame:
@@ -27,59 +50,64 @@ def query_cache(log: DataFrame, key: str, ts: str, ttl: int, chunk_ttls: int = C
     rows = log.select(F.col(key).alias("k"), F.col(ts).cast("long").alias("ts")).withColumn(
         "chunk", F.floor(F.col("ts") / width).cast("long")
     )
+    key_type = dict(rows.dtypes)["k"]
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        stamps = np.sort(pdf["ts"].to_numpy())
-        after = _next_miss(stamps, ttl)
-        last = np.arange(len(stamps))
-        for i in range(len(stamps) - 1, -1, -1):
-            if after[i] < len(stamps):
-                last[i] = last[after[i]]
-        # A chain can enter at a row no later than one ttl into the chunk, or at the first one after.
-        start = pdf["chunk"].iloc[0] * width
-        n = min(len(stamps), int(np.searchsorted(stamps, start + ttl, side="left")) + 1)
-        leave = stamps[last[:n]]
-        ends = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+        c = _Chunks(pdf, "ts", width, ttl)
+        after = c.next_miss()
+        last = np.where(after < c.ends[c.group], after, np.arange(len(after)))
+        while True:  # double the steps until every chain has reached its end
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        # A chain enters no later than at the first row that is one ttl into the chunk.
+        groups = np.arange(len(c.starts))
+        entry_end = c.first_after(groups, c.chunk * width + ttl - 1)
+        entry = np.arange(len(after)) <= entry_end[c.group]
+        leave = c.stamps[last]
+        same = np.zeros(len(after), dtype=bool)
+        same[:-1] = (c.group[1:] == c.group[:-1]) & (leave[1:] == leave[:-1]) & entry[1:]
+        keep = entry & ~same
         return pd.DataFrame(
-            {"k": pdf["k"].iloc[0], "chunk": pdf["chunk"].iloc[0], "enter": stamps[:n][ends], "leave": leave[ends]}
+            {"k": pdf["k"][keep], "chunk": pdf["chunk"][keep], "enter": c.stamps[keep], "leave": leave[keep]}
         )
 
-    key_type = dict(rows.dtypes)["k"]
-    ways = rows.groupBy("k", "chunk").applyInPandas(exits, f"k {key_type}, chunk long, enter long, leave long")
-
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "enter"], kind="stable")
-        out, anchor = [], None
-        for chunk, part in pdf.groupby("chunk", sort=True):
-            out.append((chunk, anchor))
-            enter = part["enter"].to_numpy()
-            at = 0 if anchor is None else int(np.searchsorted(enter, anchor + ttl, side="right"))
-            if at < len(enter):
-                anchor = int(part["leave"].to_numpy()[at])
+        c = _Chunks(pdf, "enter", width, ttl)
+        leave = pdf["leave"].to_numpy()
+        firsts = np.isin(c.starts, group_starts(pdf, ["k"]))
+        of_key = np.cumsum(firsts) - 1
+        order = np.arange(len(c.starts)) - np.flatnonzero(firsts)[of_key]
+        anchor = np.zeros(len(c.starts), dtype=np.int64)
+        held = np.full(int(of_key[-1]) + 1, np.iinfo(np.int64).min // 2)
+        for step in range(int(order.max()) + 1):  # the j-th chunk of all keys at once
+            now = np.flatnonzero(order == step)
+            anchor[now] = held[of_key[now]]
+            at = c.first_after(now, anchor[now] + ttl)
+            entered = at < c.ends[now]
+            held[of_key[now[entered]]] = leave[at[entered]]
         return pd.DataFrame(
-            {
-                "k": pdf["k"].iloc[0],
-                "chunk": [c for c, _ in out],
-                "anchor": pd.array([a for _, a in out], dtype="Int64"),
-            }
+            {"k": pdf["k"].to_numpy()[c.starts], "chunk": c.chunk, "anchor": anchor}
         )
 
-    anchors = ways.groupBy("k").applyInPandas(link, f"k {key_type}, chunk long, anchor long")
-
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        stamps = pdf["ts"].to_numpy()
-        first = pdf["anchor"].iloc[0]
-        at = 0 if pd.isna(first) else int(np.searchsorted(stamps, int(first) + ttl, side="right"))
-        hit = np.ones(len(stamps), dtype=bool)
-        after = _next_miss(stamps, ttl)
-        while at < len(stamps):
+        c = _Chunks(pdf, "ts", width, ttl)
+        after = c.next_miss()
+        hit = np.ones(len(after), dtype=bool)
+        groups = np.arange(len(c.starts))
+        at = c.first_after(groups, pdf["anchor"].to_numpy()[c.starts] + ttl)
+        while len(at):  # one miss of every chunk at once
+            live = at < c.ends[groups]
+            at, groups = at[live], groups[live]
             hit[at] = False
-            at = int(after[at])
-        return pd.DataFrame({"k": pdf["k"], "ts": stamps, "hit": hit})
+            at = after[at]
+        return pd.DataFrame({"k": pdf["k"], "ts": c.stamps, "hit": hit})
 
-    replayed = (
-        rows.join(anchors, ["k", "chunk"]).groupBy("k", "chunk").applyInPandas(replay, f"k {key_type}, ts long, hit boolean")
+    ways = map_sorted_groups(rows, ["k", "chunk"], ["ts"], exits, f"k {key_type}, chunk long, enter long, leave long")
+    anchors = map_sorted_groups(ways, ["k"], ["chunk", "enter"], link, f"k {key_type}, chunk long, anchor long")
+    replayed = map_sorted_groups(
+        rows.join(anchors, ["k", "chunk"]), ["k", "chunk"], ["ts"], replay, f"k {key_type}, ts long, hit boolean"
     )
     return replayed.withColumnRenamed("k", key).withColumnRenamed("ts", ts)
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions.ordered import ordered_join
-from clausemill.functions.terms import term_counts, tokenize
+from clausemill.functions.terms import term_counts
 from clausemill.functions.text import strip
 from clausemill.operators import topk
-from clausemill.session import small_enough
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BM25_TOP, STRING_TOP, VECTOR_TOP = 50, 50, 10
@@ -18,22 +17,27 @@ PASS_THROUGH_TYPES = ("既往症", "特别约定")
 CHECKED_TYPES = ("理算因子", "等待期", "责任免除")
 NEGATIVE_PHRASE = "不包含"
 NO_ANSWER = "无"
-MAX_BROADCAST_TERMS = 200_000
+MAX_BM25_QUERIES = 500
 SCORE_DIGITS = 9
 
 
 def term_table(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, doc_len, terms array<(term, tf)>)``: the index input, made without a shuffle."""
-    tokens = chunks.select(key, tokenize(F.col(text)).alias("tokens"))
-    return tokens.select(key, F.size("tokens").alias("doc_len"), term_counts(F.col("tokens")).alias("terms"))
+    """``(key, doc_len, terms, tfs)``: the index, one row per chunk, made without a shuffle."""
+    return chunks.select(key, term_counts(F.col(text)).alias("t")).select(key, "t.doc_len", "t.terms", "t.tfs")
+
+
+def store_index(index: DataFrame, path: str) -> DataFrame:
+    """Write a term index once and read it back; every retrieval job scans the stored copy."""
+    index.write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.parquet(path)
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
     """``(term, df, cf)``; counts combine in the map tasks, so a hot term costs one row per task."""
     return (
-        index.select(F.explode("terms").alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.count("*").alias("df"), F.sum("t.tf").alias("cf"))
+        index.select(F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+        .groupBy(F.col("t.terms").alias("term"))
+        .agg(F.count("*").alias("df"), F.sum("t.tfs").alias("cf"))
     )
 
 
@@ -42,7 +46,7 @@ def corpus_totals(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))
 
 
-def term_weights(index: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def term_weights(index: DataFrame) -> DataFrame:
     """``(term, idf)`` with negative values floored at a quarter of the mean over all terms."""
     counted = document_frequency(index).join(F.broadcast(corpus_totals(index)))  # totals: one row
     raw = counted.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -56,36 +60,30 @@ def term_weights(index: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def bm25_topk(
-    index: DataFrame, key: str, queries: DataFrame, query: str, k: int = BM25_TOP, k1: float = K1, b: float = B
+    index: DataFrame, key: str, queries: DataFrame, query: str, k: int = BM25_TOP, k1: float = K1, b: float = B, **kw
 ) -> DataFrame:
     """``(query_id, key, score, rank)`` by Okapi BM25; chunks without a query term are left out.
 
-    ``index`` comes from :func:`term_table`, best from a stored copy.
+    ``index`` comes from :func:`term_table`, best from a stored copy. Document
+    frequencies and weights are joins; the scores of a chunk are made where its
+    index row lies, and only each task's best per query is shuffled.
     """
     asked = (
-        queries.select("query_id", F.explode(tokenize(F.col(query))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    weighted = asked.join(term_weights(index, k1, b), "term")
-    # Few query terms: the postings stay where they are. Many: hash join on the term,
-    # where the adaptive skew join splits a hot term.
-    if small_enough(asked, MAX_BROADCAST_TERMS):
-        weighted = F.broadcast(weighted)
-    postings = index.select(key, "doc_len", F.explode("terms").alias("t")).select(key, "doc_len", "t.term", "t.tf")
-    part = (
-        F.col("qtf")
-        * F.col("idf")
-        * (F.col("tf") * (k1 + 1))
-        / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
+        term_table(queries, "query_id", query)
+        .select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+        .select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("qtf"))
     )
-    scored = (
-        postings.join(weighted, "term")
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    weight = F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))
+    weighted = (
+        asked.join(term_weights(index), "term")
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(weight)).alias("t"), F.max("mean_len").alias("mean_len"))
+        .select("query_id", F.struct("mean_len", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")).alias("payload"))
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rows = index.select(key, F.struct("doc_len", "terms", "tfs").alias("payload"))
+    prepare, scorer = topk.weighted_terms_scorer(k1, b)
+    kw.setdefault("max_queries", MAX_BM25_QUERIES)
+    return topk.score_topk(rows, key, "payload", weighted, "payload", prepare, scorer, k, **kw).withColumnRenamed("key", key)
 
 
 def string_match_topk(chunks: DataFrame, key: str, text: str, queries: DataFrame, query: str, k: int = STRING_TOP, **kw) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from clausemill.functions import urls
@@ -12,22 +10,11 @@ from clausemill.operators import ingest as I
 from clausemill.plans.fixtures import MD_CHUNKS, MD_DOCS, md_docs, with_ctes
 from clausemill.plans.q_structure import md_chunks
 from clausemill.plans.registry import query
+from clausemill.plans.scratch import scratch
 from clausemill.session import load
 from clausemill.sources import files as SF, stores as SS
 
 
-def scratch(spark, name):
-    """A new folder below the shared one the cluster names; a local one only in local sessions."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"clausemill-{name}-")
-    import uuid
-
-    return f"{shared}/clausemill-{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "s01_read_chunks",
     with_ctes(MD_DOCS, MD_CHUNKS, "select doc_id, original_index, 0 as split_part, page_content, structure_path from md_chunks"),

@@ -8,6 +8,7 @@ from clausemill.functions.terms import tokenize
 from clausemill.operators import cache as C, retrieval as R
 from clausemill.operators.structure import split_oversize
 from clausemill.plans.fixtures import MD_CHUNKS, MD_DOCS, with_ctes
+from clausemill.plans.scratch import scratch
 from clausemill.plans.q_structure import doc_chunks, md_chunks
 from clausemill.plans.registry import query
 from clausemill.session import load
@@ -23,6 +24,10 @@ def phrases(spark, sf):
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def term_index(spark, sf):
+    return R.store_index(R.term_table(corpus(spark, sf), "chunk", "text"), scratch(spark, "index") + "/terms")
+
+
 _CORPUS = """
 corpus as (select doc_id * 1000 + case when n > 1 then k + 1 else 0 end as chunk, substring(text, (k * 5800 + 1)::bigint, 6000) as text
 from (select doc_id, text, case when length(text) <= 6000 then 1 else ceil((length(text) - 6000) / 5800.0)::int + 1 end as n from documents), unnest(range(0, n)) as u(k))
@@ -54,7 +59,7 @@ dfs as (select term, count(*) as df, sum(tf)::bigint as cf from tfs group by ter
     with_ctes(_CORPUS, _STATS, "select term, df, cf, n, round(mean_len, 6) as mean_len from dfs, totals"),
 )
 def term_stats(spark, sf):
-    index = R.term_table(corpus(spark, sf), "chunk", "text")
+    index = term_index(spark, sf)
     totals = R.corpus_totals(index).select("n", F.round("mean_len", 6).alias("mean_len"))
     return R.document_frequency(index).join(F.broadcast(totals))  # totals: one row
 
@@ -70,7 +75,7 @@ bm25_top as (select *, row_number() over (partition by query_id order by score d
 
 
 def bm25(spark, sf):
-    index = R.term_table(corpus(spark, sf), "chunk", "text")
+    index = term_index(spark, sf)
     return R.bm25_topk(index, "chunk", phrases(spark, sf), "query")
 
 
