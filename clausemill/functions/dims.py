@@ -125,3 +125,47 @@ CODE_TABLES = {
     "feeCategory": FEE_CATEGORIES,
     "ruleType": RULE_TYPES,
 }
+
+# Scene keywords: (keywords, rule, parameter kind), in rule order.
+SCENE_RULES = (
+    (("医保身份投保", "需有医保身份", "需提供医保身份", "仅限医保身份"), "E1_001", "yes"),
+    (("非医保身份投保", "无医保身份要求"), "E1_018", "none"),
+    (("除外疾病", "除以下疾病", "不承担下列疾病"), "E1_002", "exclude"),
+    (("包含疾病", "承担以下疾病"), "E1_002", "include"),
+    (("除外诊疗", "除以下诊疗", "不承担下列诊疗"), "E1_003", "exclude"),
+    (("包含诊疗", "承担以下诊疗"), "E1_003", "include"),
+    (("除外材料", "除以下材料", "不承担下列材料"), "E1_004", "exclude"),
+    (("包含材料", "承担以下材料"), "E1_004", "include"),
+    (("除外药品", "除以下药品", "不承担下列药品"), "E1_005", "exclude"),
+    (("包含药品", "承担以下药品"), "E1_005", "include"),
+    (("除外手术", "除以下手术", "不承担下列手术"), "E1_006", "exclude"),
+    (("包含手术", "承担以下手术"), "E1_006", "include"),
+    (("住院前后", "住院前后门诊", "相同事故原因且在住院前后"), "E1_007", "none"),
+    (("门诊手术", "门诊手术费用"), "E1_008", "none"),
+    (("重大疾病", "重症"), "E1_009", "none"),
+    (("非重大疾病", "非重症"), "E1_010", "none"),
+    (("同日归并", "同日门诊"), "E1_011", "none"),
+    (("向前归并", "门诊向前归并"), "E1_012", "none"),
+    (("恶性肿瘤", "癌症"), "E1_013", "none"),
+    (("非恶性肿瘤", "良性肿瘤"), "E1_014", "none"),
+    (("相同事故原因住院", "住院归并"), "E1_015", "none"),
+    (("入院日距事故日", "距事故日"), "E1_016", "none"),
+    (("无社保参保证明", "无投保地社保", "无社保证明拒赔"), "E1_017", "none"),
+    (("非社保身份", "无社保要求", "不限社保身份"), "E1_018", "none"),
+    (("与前次疾病", "间隔天数"), "E1_019", "none"),
+    (("保单年度", "第.*年出险"), "E1_020", "none"),
+    (("出险年龄", "年龄限制"), "E1_021", "none"),
+    (("确诊日期", "有效期"), "E1_022", "none"),
+    (("180天内", "半年内"), "E1_023", "none"),
+    (("重症监护室", "ICU", "重症监护"), "E1_024", "none"),
+    (("24小时", "24小时内出入院", "24小时内住院"), "E1_025", "none"),
+)
+SCENE_SUBJECTS = {"E1_002": "疾病", "E1_003": "诊疗", "E1_004": "材料", "E1_005": "药品", "E1_006": "手术"}
+SCENE_CUSTOM = "E1_999"
+INVOICE_RULES = (("统筹", "E2_001"), ("社保账单", "E2_002"), ("自费", "E2_003"))
+SENSITIVE_TAGS = (
+    "先天性疾病", "染色体异常", "遗传性疾病", "毒品", "艾滋病", "精神性疾病", "性功能障碍治疗",
+    "包皮过长、包茎和包茎嵌顿", "怀孕（含宫外孕）", "精神病鉴定", "狭义性病", "广义精神病", "眼部疾病及视力障碍", "体检",
+)
+TAG_CATEGORIES = ("药品非责标签", "诊疗非责标签", "材料非责标签", "诊断非责标签", "手术非责标签")
+SCOPE_FIELDS = ("事故类型", "治疗类型", "医院范围", "费用类型", "发票", "场景")
