@@ -98,3 +98,39 @@ f_marks as (select doc_id, i as start_line, regexp_extract(line, '^#\s+FILE:\s*(
    from (select *, max(i) over (partition by doc_id) + 1 as n_lines from md_lines) where regexp_matches(line, '^#\s+FILE:\s*([^|]+?)(?:\s*\|\s*(.+))?$')),
 md_files as (select doc_id, start_line, coalesce(lead(start_line) over (partition by doc_id order by start_line), n_lines) - 1 as end_line, file_name, file_class from f_marks)
 """
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes of a page per part."""
+    from pyspark.sql import Window
+
+    items = load(spark, sf_dir, "lineitem")
+    others = [c for c in items.columns if c != "l_partkey"]
+    w = Window.partitionBy("l_partkey").orderBy(*others)
+    x0 = F.col("l_linenumber") * 40
+    y0 = F.round("l_quantity").cast("int") * 10
+    return items.select(
+        F.col("l_partkey").alias("page"),
+        F.row_number().over(w).alias("box_id"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + 60 + F.col("l_suppkey") % 40).cast("int").alias("x1"),
+        (y0 + 14 + F.round(F.col("l_tax") * 100).cast("int")).alias("y1"),
+        F.round(F.col("l_discount") * 10, 2).alias("score"),
+        F.col("l_linenumber").alias("category_id"),
+        F.col("l_returnflag").alias("flag"),
+    )
+
+
+BOXES = """
+boxes as (select l_partkey as page, row_number() over (partition by l_partkey order by l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)::int as box_id,
+  (l_linenumber * 40)::int as x0, round(l_quantity)::int * 10 as y0, (l_linenumber * 40 + 60 + l_suppkey % 40)::int as x1, round(l_quantity)::int * 10 + 14 + round(l_tax * 100)::int as y1,
+  round(l_discount * 10, 2) as score, l_linenumber as category_id, l_returnflag as flag from lineitem)
+"""
+_I = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+_AA, _AB = "(a.x1 - a.x0) * (a.y1 - a.y0)", "(b.x1 - b.x0) * (b.y1 - b.y0)"
+PAIRS = f"""
+prs as (select a.page, a.box_id as a, b.box_id as b, {_I} as inter, {_I} / ({_AA} + {_AB} - {_I}) as iou, {_I} / least({_AA}, {_AB}) as osmall, {_I} / ({_AA}) as ofirst, {_AA} as aa, {_AB} as ab,
+   a.score as sa, b.score as sb, a.category_id as ca, b.category_id as cb, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1
+  from boxes a join boxes b on a.page = b.page and a.box_id <> b.box_id and greatest(a.x0, b.x0) <= least(a.x1, b.x1) and greatest(a.y0, b.y0) <= least(a.y1, b.y1))
+"""

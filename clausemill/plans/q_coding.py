@@ -157,7 +157,7 @@ def scopes(spark, sf):
 
 @query(
     "c10_scope_or_fallback",
-    f"""with {sql_texts('hospital')}, {_SCOPES_SQL}, given as (select doc_id from t where doc_id % 4 = 0 and trim(hospital) <> '')
+    f"""with {sql_texts('hospital')}, {_SCOPES_SQL}, given as (select doc_id, lang from t where doc_id % 4 = 0 and trim(hospital) <> '')
 select doc_id, id, {_COLS.replace('confidence', "case when confidence = '0' then '0' else '0.5' end as confidence")} from scopes where doc_id not in (select doc_id from given) union all
 select doc_id, '1', '2', '1', null, '2,3', lang, null, null, null, '0.5' from given union all select doc_id, '2', '1', '1', null, null, null, null, null, null, '0.5' from given""",
 )

@@ -51,7 +51,7 @@ def flatten(spark, sf):
 
 _TOTALS = """
 customers as (select r_name as plan, n_name as clause, c_custkey, c_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey),
-results as (select o_custkey as c_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as scopes from orders where o_orderstatus = 'P' and o_totalprice > 300000 group by o_custkey)
+results as (select o_custkey as c_custkey, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as scopes from orders where o_orderstatus = 'P' and o_totalprice > 300000 group by o_custkey)
 """
 
 
@@ -71,13 +71,13 @@ def customers(spark, sf):
 )
 def attach(spark, sf):
     results = (
-        load(spark, sf, "orders").filter("o_orderstatus = 'P' and o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("scopes"))
+        load(spark, sf, "orders").filter("o_orderstatus = 'P' and o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("scopes"))
     )
     items = customers(spark, sf)
     attached = H.attach_results(items, results, ["c_custkey"], "scopes")
     absent = H.missing_results(items, results, ["c_custkey"]).select("c_custkey", F.lit(1).alias("missing"))
     return attached.join(absent, "c_custkey", "left").select(
-        "plan", "clause", "c_custkey", F.array_join(F.col("scopes").cast("array<string>"), ",").alias("scopes"), F.coalesce("missing", F.lit(0)).alias("missing")
+        "plan", "clause", "c_custkey", F.array_join("scopes", ",").alias("scopes"), F.coalesce("missing", F.lit(0)).alias("missing")
     )
 
 
