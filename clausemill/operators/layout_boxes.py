@@ -244,7 +244,7 @@ def assign_spans(spans: DataFrame, blocks: DataFrame, page: str, ratio: float =
     return spans.join(found, [page, "box_id"], "left")
 
 
-def nearest_owner(captions: DataFrame, bodies: DataFrame, page: str, reach: int = 50) -> DataFrame:
+def nearest_owner(captions: DataFrame, bodies: DataFrame, page: str, reach: int = 200) -> DataFrame:
     """Each caption with the body of its page at the smallest gap; ties go to the lower id.
 
     Captions look for bodies within a reach. One whose best gap is inside it is
@@ -266,9 +266,10 @@ def nearest_owner(captions: DataFrame, bodies: DataFrame, page: str, reach: int
             .filter(F.col("best.gap") <= reach)
             .select(page, "box_id", "best.gap", "best.owner")
         )
-        best = cut_lineage(best)
-        settled = best if settled is None else settled.unionByName(best)
-        open_ones = cut_lineage(open_ones.join(best, [page, "box_id"], "left_anti"))
+        looked = cut_lineage(open_ones.join(best, [page, "box_id"], "left"))
+        done = looked.filter("owner is not null").select(page, "box_id", "gap", "owner")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ones = looked.filter("owner is null").drop("gap", "owner")
         if open_ones.isEmpty():
             return settled
         reach *= 4

@@ -13,26 +13,26 @@ from clausemill.functions.ordered import ordered_join
 _CELLS = "array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>"
 
 
-def place_spanned(rows: list) -> list[tuple[int, int, int, int, str]]:
+def place_spanned(cells: list) -> list[dict]:
     """Column of every cell of one table whose cells may hang down into later rows."""
     taken: set[tuple[int, int]] = set()
     out = []
-    for r, cells in enumerate(rows):
-        c = 0
-        for cell in cells:
-            while (r, c) in taken:
-                c += 1
-            rs, cs = cell["row_span"], cell["col_span"]
-            taken.update((r + i, c + j) for i in range(rs) for j in range(cs))
-            out.append((r, c, rs, cs, cell["text"]))
-            c += cs
+    r, c = -1, 0
+    for cell in cells:
+        if cell["r"] != r:
+            r, c = cell["r"], 0
+        while (r, c) in taken:
+            c += 1
+        rs, cs = cell["row_span"], cell["col_span"]
+        taken.update((r + i, c + j) for i in range(rs) for j in range(cs))
+        out.append({"r": r, "c": c, "row_span": rs, "col_span": cs, "text": cell["text"]})
+        c += cs
     return out
 
 
 def _place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    names = ("r", "c", "row_span", "col_span", "text")
     for batch in batches:
-        yield batch.map(lambda rows: [dict(zip(names, cell)) for cell in place_spanned(rows)])
+        yield batch.map(place_spanned)
 
 
 def table_cells(tables: DataFrame, keys: list[str], html: str) -> DataFrame:
@@ -44,7 +44,9 @@ def table_cells(tables: DataFrame, keys: list[str], html: str) -> DataFrame:
     spanned = F.exists("rows", lambda row: F.exists(row, lambda x: x["row_span"] > 1))
     plain = parsed.filter(~spanned).select(*keys, F.posexplode(F.transform("rows", T.placed_cells)).alias("r", "row"))
     plain = plain.select(*keys, "r", F.explode("row").alias("x")).select(*keys, "r", "x.c", "x.row_span", "x.col_span", "x.text")
-    hanging = parsed.filter(spanned).select(*keys, F.inline(F.pandas_udf(_place, _CELLS)("rows")))
+    flat = F.flatten(F.transform("rows", lambda row, r: F.transform(row, lambda x: x.withField("r", r))))
+    hanging = parsed.filter(spanned).select(*keys, flat.alias("cells"))
+    hanging = hanging.select(*keys, F.inline(F.pandas_udf(_place, _CELLS)("cells")))
     return plain.unionByName(hanging)
 
 
