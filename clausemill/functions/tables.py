@@ -68,17 +68,20 @@ def shared_header_rows(above: Column, below: Column, limit: int = 5) -> Column:
     pairs = F.zip_with(
         F.slice(table_rows(above), 1, limit),
         F.slice(table_rows(below), 1, limit),
-        lambda a, b: F.coalesce(F.to_json(row_cells(a)) == F.to_json(row_cells(b)), F.lit(False)),
+        lambda a, b: F.when(a == b, True)  # rows alike to the letter need no parsing
+        .when(a.isNull() | b.isNull(), False)
+        .otherwise(F.to_json(row_cells(a)) == F.to_json(row_cells(b))),
     )
     return let(pairs, lambda eq: F.when(F.array_contains(eq, False), F.array_position(eq, False).cast("int") - 1).otherwise(F.size(eq)))
 
 
 def concat_tables(above: Column, below: Column, limit: int = 5) -> Column:
     """The table above with the rows of the one below that follow their shared header."""
-    rows = F.concat(
-        table_rows(above),
-        let(table_rows(below), lambda r: F.slice(r, shared_header_rows(above, below, limit) + 1, F.greatest(F.size(r), F.lit(1)))),
+    rest = let(
+        F.struct(table_rows(below).alias("rows"), shared_header_rows(above, below, limit).alias("shared")),
+        lambda t: F.slice(t["rows"], t["shared"] + 1, F.greatest(F.size(t["rows"]), F.lit(1))),
     )
+    rows = F.concat(table_rows(above), rest)
     lines = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), r, F.lit("</tr>")))
     return F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>"))
 

@@ -15,8 +15,8 @@ from clausemill.session import load
 _CHARS = """
 chars as (select p_partkey as page, (i - 1)::int as char_idx, substring(p_name, i, 1) as ch, (i - 1) * 10 + p_size % 3 as x0, 0 as y0, (i - 1) * 10 + p_size % 3 + 9 as x1, 12 as y1
   from part, unnest(range(1, length(p_name) + 1)) as u(i)),
-words as (select p_partkey as page, k - 1 as span_id, length(array_to_string(string_split(p_name, ' ')[:k - 1], ' ')) + (k > 1)::int as at, length(string_split(p_name, ' ')[k]) as n from part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as u(k)),
-wspans as (select page, span_id, at * 10 as x0, 0 as y0, (at + n) * 10 as x1, 12 as y1 from words),
+words as (select p_partkey as page, k - 1 as span_id, length(array_to_string(string_split(p_name, ' ')[:k - 1], ' ')) + (k > 1)::int as off, length(string_split(p_name, ' ')[k]) as n from part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) as u(k)),
+wspans as (select page, span_id, off * 10 as x0, 0 as y0, (off + n) * 10 as x1, 12 as y1 from words),
 placed as (select c.page, c.char_idx, min(s.span_id) as span_id from chars c join wspans s on c.page = s.page and (c.x0 + c.x1) / 2 > s.x0 and (c.x0 + c.x1) / 2 < s.x1 group by all)
 """
 
