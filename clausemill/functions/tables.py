@@ -40,7 +40,8 @@ def placed_cells(cells: Column) -> Column:
 
 
 def row_width(row: Column) -> Column:
-    return F.aggregate(row_cells(row), F.lit(0), lambda acc, x: acc + x["col_span"])
+    attrs = F.regexp_extract_all(row, F.lit(_CELL), F.lit(1))
+    return F.aggregate(attrs, F.lit(0), lambda acc, a: acc + _span(a, "colspan"))
 
 
 def total_columns(html: Column) -> Column:

@@ -47,15 +47,18 @@ def corpus_totals(index: DataFrame) -> DataFrame:
 
 
 def term_weights(index: DataFrame) -> DataFrame:
-    """``(term, idf)`` with negative values floored at a quarter of the mean over all terms."""
-    counted = document_frequency(index).join(F.broadcast(corpus_totals(index)))  # totals: one row
-    raw = counted.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select(  # mean: one row
+    """``(term, idf, mean_len)`` with negative values floored at a quarter of the mean over all terms.
+
+    Corpus totals enter as scalar subqueries.
+    """
+    totals = corpus_totals(index)
+    n = totals.select("n").scalar()
+    raw = document_frequency(index).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf")).scalar()
+    return raw.select(
         "term",
-        F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"),
-        "n",
-        "mean_len",
+        F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw")).alias("idf"),
+        totals.select("mean_len").scalar().alias("mean_len"),
     )
 
 

@@ -61,7 +61,9 @@ dfs as (select term, count(*) as df, sum(tf)::bigint as cf from tfs group by ter
 def term_stats(spark, sf):
     index = term_index(spark, sf)
     totals = R.corpus_totals(index).select("n", F.round("mean_len", 6).alias("mean_len"))
-    return R.document_frequency(index).join(F.broadcast(totals))  # totals: one row
+    return R.document_frequency(index).select(
+        "*", totals.select("n").scalar().alias("n"), totals.select("mean_len").scalar().alias("mean_len")
+    )
 
 
 _BM25 = rf"""
