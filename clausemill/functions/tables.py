@@ -78,10 +78,7 @@ def shared_header_rows(above: Column, below: Column, limit: int = 5) -> Column:
 
 def concat_tables(above: Column, below: Column, limit: int = 5) -> Column:
     """The table above with the rows of the one below that follow their shared header."""
-    rest = let(
-        F.struct(table_rows(below).alias("rows"), shared_header_rows(above, below, limit).alias("shared")),
-        lambda t: F.slice(t["rows"], t["shared"] + 1, F.greatest(F.size(t["rows"]), F.lit(1))),
-    )
+    rest = let(table_rows(below), lambda r: F.slice(r, shared_header_rows(above, below, limit) + 1, F.greatest(F.size(r), F.lit(1))))
     rows = F.concat(table_rows(above), rest)
     lines = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), r, F.lit("</tr>")))
     return F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from clausemill.functions import tables as T
+from clausemill.functions.binding import let
 from clausemill.functions.ordered import ordered_join
 
 _CELLS = "array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>"
@@ -40,12 +41,13 @@ def table_cells(tables: DataFrame, keys: list[str], html: str) -> DataFrame:
 
     Only tables with row spans leave the JVM.
     """
-    parsed = tables.select(*keys, F.transform(T.table_rows(F.col(html)), T.row_cells).alias("rows"))
-    spanned = F.exists("rows", lambda row: F.exists(row, lambda x: x["row_span"] > 1))
-    plain = parsed.filter(~spanned).select(*keys, F.posexplode(F.transform("rows", T.placed_cells)).alias("r", "row"))
-    plain = plain.select(*keys, "r", F.explode("row").alias("x")).select(*keys, "r", "x.c", "x.row_span", "x.col_span", "x.text")
-    flat = F.flatten(F.transform("rows", lambda row, r: F.transform(row, lambda x: x.withField("r", r))))
-    hanging = parsed.filter(spanned).select(*keys, flat.alias("cells"))
+    spanned = F.col(html).rlike(r"""(?i)\browspan\s*=\s*["']?0*([2-9]|1\d)""")
+    cells = F.transform(T.table_rows(F.col(html)), T.row_cells)
+    plain = tables.filter(~spanned).select(*keys, F.posexplode(T.table_rows(F.col(html))).alias("r", "row"))
+    plain = plain.select(*keys, "r", F.explode(let(T.row_cells(F.col("row")), T.placed_cells)).alias("x"))
+    plain = plain.select(*keys, "r", "x.c", "x.row_span", "x.col_span", "x.text")
+    flat = F.flatten(F.transform(cells, lambda row, r: F.transform(row, lambda x: x.withField("r", r))))
+    hanging = tables.filter(spanned).select(*keys, flat.alias("cells"))
     hanging = hanging.select(*keys, F.inline(F.pandas_udf(_place, _CELLS)("cells")))
     return plain.unionByName(hanging)
 

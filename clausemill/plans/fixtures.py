@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.session import load
+from clausemill.session import load, load_spread
 
 NL = "chr(10)"
 
@@ -22,7 +22,7 @@ def with_ctes(*parts: str) -> str:
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: every third line is a heading, some lines are code fences,
     every 20th document opens with a file mark and has another in its middle."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load_spread(spark, sf_dir, "documents").select("doc_id", "text")
     line = F.transform(
         F.split("text", "\n", -1),
         lambda x, i: F.when(

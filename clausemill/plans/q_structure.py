@@ -9,6 +9,7 @@ from clausemill.functions.ordered import ordered_join
 from clausemill.operators import structure as S
 from clausemill.plans.fixtures import MD_CHUNKS, MD_DOCS, MD_FILES, MD_LINES, md_docs, sql_strip, with_ctes
 from clausemill.plans.registry import query
+from clausemill.session import cut_lineage, load_spread
 
 _HEADS = rf"""
 heads as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as idx, i as line_idx, length(regexp_extract(line, '^(#+)', 1)) as level,
@@ -153,9 +154,7 @@ def attributed_compat(spark, sf):
 
 def doc_chunks(spark, sf):
     """Whole documents as single chunks, the input of oversize splitting."""
-    from clausemill.session import load
-
-    return load(spark, sf, "documents").select(
+    return load_spread(spark, sf, "documents").select(
         "doc_id", F.lit(0).alias("original_index"), F.lit(0).alias("split_part"), F.col("text").alias("page_content")
     )
 
@@ -196,7 +195,7 @@ select m.doc_id, m.parent_index, string_agg(c.page_content, chr(10) order by bel
 from members m join md_chunks c on c.doc_id = m.doc_id and c.original_index = m.original_index group by m.doc_id, m.parent_index"""),
 )
 def fetched(spark, sf):
-    rows = md_chunks(spark, sf)
+    rows = cut_lineage(md_chunks(spark, sf))
     wanted = rows.filter(F.col("structure_level").isin(1, 2)).select(
         "doc_id", "original_index", (F.col("original_index") - F.col("structure_level") * 1000000).alias("pos")
     )
@@ -210,4 +209,4 @@ select a.doc_id, a.original_index as ancestor_index, c.original_index as descend
   on a.doc_id = c.doc_id and a.structure_path <> '' and starts_with(c.structure_path, a.structure_path || '/')"""),
 )
 def subtree(spark, sf):
-    return S.descendants(md_chunks(spark, sf), "doc_id")
+    return S.descendants(cut_lineage(md_chunks(spark, sf)), "doc_id")

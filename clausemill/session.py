@@ -25,6 +25,8 @@ def build_session(app: str = "clausemill", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Only small stages are affected: work after a small shuffle still uses the cores there are.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
@@ -41,6 +43,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Like :func:`load`, for costly work per row on a table of fewer file splits than cores.
+
+    A table with enough splits is returned as it is, so large inputs are never moved.
+    """
+    rows = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` to the shared folder so that a lost executor costs no recompute chain.
 
