@@ -69,11 +69,21 @@ def shared_header_rows(above: Column, below: Column, limit: int = 5) -> Column:
     pairs = F.zip_with(
         F.slice(table_rows(above), 1, limit),
         F.slice(table_rows(below), 1, limit),
-        lambda a, b: F.when(a == b, True)  # rows alike to the letter need no parsing
-        .when(a.isNull() | b.isNull(), False)
-        .otherwise(F.to_json(row_cells(a)) == F.to_json(row_cells(b))),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
-    return let(pairs, lambda eq: F.when(F.array_contains(eq, False), F.array_position(eq, False).cast("int") - 1).otherwise(F.size(eq)))
+
+    def step(n: Column, p: Column) -> Column:
+        # Open counts are 0 or more; a count closed by a mismatch is held as -(n + 1), and nothing more is parsed.
+        closed = -(n + 1)
+        return (
+            F.when(n < 0, n)
+            .when(p["a"] == p["b"], n + 1)
+            .when(p["a"].isNull() | p["b"].isNull(), closed)
+            .when(F.to_json(row_cells(p["a"])) == F.to_json(row_cells(p["b"])), n + 1)
+            .otherwise(closed)
+        )
+
+    return F.aggregate(pairs, F.lit(0), step, lambda n: F.when(n < 0, -n - 1).otherwise(n))
 
 
 def concat_tables(above: Column, below: Column, limit: int = 5) -> Column:

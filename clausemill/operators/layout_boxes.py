@@ -102,7 +102,7 @@ def connected(edges: DataFrame, nodes: DataFrame, page: str, max_rounds: int = M
     the logarithm of a chain. Each round is checkpointed, its stop test is one count.
     """
     both = cut_lineage(edges.select(page, "a", "b").union(edges.select(page, "b", "a")).distinct())
-    labels = cut_lineage(nodes.select(page, F.col("node"), F.col("node").alias("label")))
+    labels = cut_lineage(both.select(page, F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     for _ in range(max_rounds):
         heard = (
             both.join(labels.withColumnsRenamed({"node": "b"}), [page, "b"])
@@ -117,7 +117,10 @@ def connected(edges: DataFrame, nodes: DataFrame, page: str, max_rounds: int = M
             spread.join(jump, [page, "label"]).select(page, "node", "old", F.least("label", "far").alias("label"))
         )
         if after.filter("old <> label").isEmpty():
-            return after.drop("old")
+            # Nodes without an edge took no part in the loop; they are their own group.
+            return nodes.select(page, "node").join(after.drop("old"), [page, "node"], "left").withColumn(
+                "label", F.coalesce("label", "node")
+            )
         labels = after.drop("old")
     raise RuntimeError(f"labels still change after {max_rounds} rounds; raise max_rounds")
 
