@@ -33,7 +33,7 @@ LENGTH = 200
 NAME = 64
 PERIOD = LENGTH - NAME  # a sampled suffix stands at most so many bytes after the start of a repeated string
 AROUND = PERIOD + LENGTH
-CLASS_ROWS = 50_000
+CLASS_ROWS = 200_000
 MARKS_BROADCAST = 300_000
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -159,33 +159,32 @@ class Block:
         starts = np.arange(PERIOD + 1)
         self.whole = (starts >= (PERIOD - leads)[:, None]) & (starts + LENGTH <= (PERIOD - leads + sizes)[:, None])
 
-    def hashes(self) -> np.ndarray:
-        """Hash of the LENGTH bytes from each of the first PERIOD + 1 columns on."""
-        values = _byte_values()
-        before = np.zeros((AROUND + 1, len(self.bytes)), dtype=np.uint64)
-        columns = np.ascontiguousarray(self.bytes.T)
-        factor, power = np.uint64(_FACTOR), np.uint64(pow(_FACTOR, LENGTH, 1 << 64))
-        with np.errstate(over="ignore"):
-            for j in range(AROUND):
-                before[j + 1] = before[j] * factor + values[columns[j]]
-            return (before[LENGTH:] - before[: PERIOD + 1] * power).T
-
     def repeated(self, name: np.ndarray) -> np.ndarray:
-        """Whether each string (row, column) equals another row's of its name in the same column."""
-        h = self.hashes()
-        row, column = np.nonzero(self.whole)
-        with np.errstate(over="ignore"):
-            key = h[row, column] + name.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        order = np.argsort(key, kind="stable")
-        row, column, key = row[order], column[order], key[order]
-        out = np.zeros(self.whole.shape, dtype=bool)
-        next_to = np.flatnonzero(key[1:] == key[:-1])
+        """Whether each string (row, column) equals another row's of its name in the same column.
+
+        One column after the other is sorted by name and hash, and neighbours are compared byte by byte.
+        """
+        columns, values = np.ascontiguousarray(self.bytes.T), _byte_values()
         strings = np.lib.stride_tricks.sliding_window_view(self.bytes, LENGTH, axis=1)
-        for i in range(0, len(next_to), 20_000):
-            a, b = next_to[i : i + 20_000], next_to[i : i + 20_000] + 1
-            same = (strings[row[a], column[a]] == strings[row[b], column[b]]).all(1) & (column[a] == column[b]) & (name[row[a]] == name[row[b]])
-            out[row[a[same]], column[a[same]]] = True
-            out[row[b[same]], column[b[same]]] = True
+        out = np.zeros(self.whole.shape, dtype=bool)
+        factor, power = np.uint64(_FACTOR), np.uint64(pow(_FACTOR, LENGTH, 1 << 64))
+        h = np.zeros(len(self.bytes), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            named = name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for j in range(LENGTH):
+                h = h * factor + values[columns[j]]
+            for k in range(PERIOD + 1):
+                if k:
+                    h = h * factor + values[columns[k + LENGTH - 1]] - values[columns[k - 1]] * power
+                rows = np.flatnonzero(self.whole[:, k])
+                rows = rows[np.argsort((h + named)[rows], kind="stable")]
+                key = (h + named)[rows]
+                next_to = np.flatnonzero(key[1:] == key[:-1])
+                for i in range(0, len(next_to), 20_000):
+                    a, b = rows[next_to[i : i + 20_000]], rows[next_to[i : i + 20_000] + 1]
+                    same = (strings[a, k] == strings[b, k]).all(1) & (name[a] == name[b])
+                    out[a[same], k] = True
+                    out[b[same], k] = True
         return out
 
 
@@ -250,17 +249,21 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(around: DataFrame) -> DataFrame:
-    """The same spans for names of any number of rows: a row per string, counted by name, column and bytes."""
-    columns = F.sequence(F.lit(0), F.lit(PERIOD))
-    strings = around.select("name", "key", "at", "lead", "bytes", F.explode(columns).alias("column"))
+    """The same spans for names of any number of rows, by counting.
+
+    Equal surroundings are one row first; each of their strings is then a row, known by its SHA-256.
+    """
+    same = ["name", "lead", "bytes"]
+    kinds = stored(around.groupBy(*same).agg(F.count(F.lit(1)).alias("rows")), "kinds")
     begin = F.col("column") - (PERIOD - F.col("lead"))
-    strings = strings.filter((begin >= 0) & (begin + LENGTH <= F.octet_length("bytes"))).select(
-        "name", "column", "key", "at", F.sha2(F.substring(F.col("bytes"), begin + 1, F.lit(LENGTH)), 256).alias("string")
-    )
-    strings = stored(strings, "strings")
-    several = strings.groupBy("name", "column", "string").count().filter("count > 1").drop("count")
+    strings = kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(PERIOD))).alias("column")).filter(
+        (begin >= 0) & (begin + LENGTH <= F.octet_length("bytes"))
+    ).select(*same, "rows", "column", F.unhex(F.sha2(F.substring(F.col("bytes"), begin + 1, F.lit(LENGTH)), 256)).alias("string"))
+    several = strings.groupBy("name", "column", "string").agg(F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    marked = strings.select(*same, "column", "string").join(several, ["name", "column", "string"], "left_semi")
     start = F.col("at") - PERIOD + F.col("column")
-    return strings.join(several, ["name", "column", "string"], "left_semi").select(
+    marked = marked.groupBy(*same).agg(F.collect_list("column").alias("columns"))
+    return around.join(marked, same).select("key", "at", F.explode("columns").alias("column")).select(
         "key", start.alias("first"), (start + LENGTH).alias("last")
     )
 

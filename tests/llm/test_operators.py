@@ -187,7 +187,7 @@ def test_decontamination_plan_is_native(spark, docs):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
-@pytest.mark.parametrize("sample, class_rows", [("content", 50_000), ("cover", 50_000), ("content", 2)])
+@pytest.mark.parametrize("sample, class_rows", [("content", 200_000), ("cover", 200_000), ("content", 2)])
 def test_suffix_dedup(docs, rows, sample, class_rows):
     small = docs.filter(F.length("text") < 100_000) if sample == "cover" or class_rows == 2 else docs
     chosen = [(d, t) for d, t in rows if t is None or len(t) < 100_000] if small is not docs else rows
