@@ -1,5 +1,6 @@
 """The training-data operators next to plain versions, with nulls, empty texts, ties, repeats and clashing columns."""
 
+import hashlib
 import os
 import random
 import tempfile
@@ -139,14 +140,22 @@ def test_signatures_are_unbiased():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.02
 
 
-def test_pivots_lose_no_link(spark):
+def test_pivots_lose_no_link(spark, monkeypatch):
     """One bucket whose texts are similar in a chain, so that no pivot is like all of them."""
     base = [f"w{i}" for i in range(200)]
     texts = [(i, " ".join(base[i * 6 : i * 6 + 120])) for i in range(12)]
-    members = spark.createDataFrame([(1, i, 116) for i, _ in texts] + [(2, 5, 116), (2, 100, 400)], "bucket long, id long, weight long")
-    links = near_dedup.links_of(members, spark.createDataFrame([*texts, (100, "other")], "id long, text string"))
-    labels = {r.id: r.label for r in graph.components(links).collect()}
-    assert labels == {i: 0 for i in range(12)}
+    signed = near_dedup._signed(spark.createDataFrame(texts, "doc_id long, text string"), near_dedup.Bands()).collect()
+    of = {r.digest: r for r in signed}
+    key = {i: hashlib.md5(t.encode()).hexdigest() for i, t in texts}
+    assert any(of[key[0]].bands[k] == of[key[1]].bands[k] for k in range(48))
+    # All twelve in each of the buckets that any two of them share.
+    members = spark.createDataFrame([(k, k, 12, i, 116) for k in range(48) for i, _ in texts], "bucket long, band int, n long, id long, weight long")
+    marks = spark.createDataFrame([(i, of[key[i]].marks) for i, _ in texts], "id long, marks binary")
+    for block in (near_dedup.BLOCK, 3):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        links = near_dedup.links_of(members, spark.createDataFrame(texts, "id long, text string"), marks)
+        labels = {r.id: r.label for r in graph.components(links).collect()}
+        assert labels == {i: 0 for i in range(12)}
 
 
 def test_components(spark):
@@ -194,8 +203,6 @@ def test_suffix_dedup(docs, rows, sample, class_rows):
     chosen = [(d, t) for d, t in chosen if t is not None or small is docs]
     got = []
     for r in suffix_dedup.suffix_dedup(small, sample, class_rows).collect():
-        import hashlib
-
         got.append(((r.doc_id is None, r.doc_id or 0), (r.n_bytes, sum(s["last"] - s["first"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())))
     want = brute.repeated_bytes([t for _, t in chosen])
     assert sorted(got) == sorted(((d is None, d or 0), w) for (d, _), w in zip(chosen, want))
@@ -329,8 +336,6 @@ def test_warc(spark):
     folder = tempfile.mkdtemp(prefix="run-")
     warc.write(warc.typed(pages), folder, file_bytes=4_000)
     manifest = spark.read.parquet(f"{folder}/manifest")
-    import hashlib
-
     want = []
     for p, _, h, _ in rows:
         data = (h or "").encode()
