@@ -18,17 +18,25 @@ from clausemill.llm.common import worker_state
 # The characters that the tokenizers' \s matches.
 SPACE = "\t-\r \x85\xa0  -     　"
 
-# Where a byte-level tokenizer surely cuts: a word keeps one space before it, of other
-# white space all but the last character goes together.
-BYTE_LEVEL_PARTS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_AFTER_WORD = rf"(?![^{SPACE}.,;:!?])"
+
+# Where a byte-level tokenizer surely cuts: a word keeps one space before it, of other white
+# space all but the last character goes together, and marks after a run of letters are apart.
+BYTE_LEVEL_PARTS = rf" ?[{_LETTERS}]++{_AFTER_WORD}| ?[^{SPACE}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 # A tokenizer that drops white space: runs of anything else.
-WORD_PARTS = r"[^ \t\n\r]+"
+WORD_PARTS = rf"[{_LETTERS}]++{_AFTER_WORD}|[^ \t\n\r]++"
 
 WORDS_KEPT = 600_000
 _ENCODE_AT_ONCE = 20_000
 _CHARS_AT_ONCE = 2_000_000
 
 
+# How byte-level tokenizers write bytes: printable ones as they are, the others from character 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -42,6 +50,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = re.compile(parts).findall
+        self.one_piece = re.compile(f" ?[{_LETTERS}]+").fullmatch
         self.words_kept = words_kept
         self.known: dict[str, bytes] = {}
 
@@ -64,8 +73,18 @@ class Encoder:
         if len(self.known) + len(new) > self.words_kept:
             self.known.clear()
             new = list(distinct)
-        for i in range(0, len(new), _ENCODE_AT_ONCE):
-            some = new[i : i + _ENCODE_AT_ONCE]
+        # Letters alone are one piece, which needs only the tokenizer's normalizer and model.
+        normal, model = self.tokenizer.normalizer, self.tokenizer.model.tokenize
+        other = []
+        for word in new:
+            if not self.one_piece(word):
+                other.append(word)
+                continue
+            piece = normal.normalize_str(word) if normal else word
+            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            self.known[word] = array.array("I", [t.id for t in model(piece)]).tobytes()
+        for i in range(0, len(other), _ENCODE_AT_ONCE):
+            some = other[i : i + _ENCODE_AT_ONCE]
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[word] = array.array("I", e.ids).tobytes()
         find = self.known.__getitem__
