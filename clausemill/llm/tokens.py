@@ -27,9 +27,7 @@ BYTE_LEVEL_PARTS = rf" ?[{_LETTERS}]++{_AFTER_WORD}| ?[^{SPACE}]++|[{SPACE}]+(?!
 # A tokenizer that drops white space: runs of anything else.
 WORD_PARTS = rf"[{_LETTERS}]++{_AFTER_WORD}|[^ \t\n\r]++"
 
-WORDS_KEPT = 600_000
-_ENCODE_AT_ONCE = 20_000
-_CHARS_AT_ONCE = 2_000_000
+WORDS_KEPT = 1_000_000
 
 
 # How byte-level tokenizers write bytes: printable ones as they are, the others from character 256 on.
@@ -37,6 +35,29 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class _Words(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, made when a word is first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.normal, self.model = self.tokenizer.normalizer, self.tokenizer.model
+        self.one_piece = re.compile(f" ?[{_LETTERS}]+").fullmatch
+
+    def __missing__(self, word: str) -> bytes:
+        if self.one_piece(word):  # letters alone are one piece, which needs only the normalizer and the model
+            piece = self.normal.normalize_str(word) if self.normal else word
+            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            ids = [t.id for t in self.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = data = array.array("I", ids).tobytes()
+        return data
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -45,50 +66,17 @@ class Encoder:
     """
 
     def __init__(self, path: str, parts: str, words_kept: int = WORDS_KEPT):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.words = _Words(path)
+        self.tokenizer = self.words.tokenizer
         self.split = re.compile(parts).findall
-        self.one_piece = re.compile(f" ?[{_LETTERS}]+").fullmatch
         self.words_kept = words_kept
-        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= _CHARS_AT_ONCE):
-                chars += len(texts[end])
-                end += 1
-            yield from self._encode(texts[at:end])
-            at = end
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.split(t) for t in texts]
-        distinct: set[str] = set()
-        for w in words:
-            distinct.update(w)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > self.words_kept:
-            self.known.clear()
-            new = list(distinct)
-        # Letters alone are one piece, which needs only the tokenizer's normalizer and model.
-        normal, model = self.tokenizer.normalizer, self.tokenizer.model.tokenize
-        other = []
-        for word in new:
-            if not self.one_piece(word):
-                other.append(word)
-                continue
-            piece = normal.normalize_str(word) if normal else word
-            piece = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            self.known[word] = array.array("I", [t.id for t in model(piece)]).tobytes()
-        for i in range(0, len(other), _ENCODE_AT_ONCE):
-            some = other[i : i + _ENCODE_AT_ONCE]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = array.array("I", e.ids).tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, w)) for w in words]
+        find = self.words.__getitem__
+        for text in texts:
+            if len(self.words) > self.words_kept:
+                self.words.clear()
+            yield b"".join(map(find, self.split(text)))
 
 
 def encoder(path: str, parts: str) -> Encoder:
