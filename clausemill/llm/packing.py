@@ -4,7 +4,7 @@ Documents longer than a sequence are cut into full pieces, of which only the fir
 shorter; every full piece is a sequence of its own. The rest is packed piece by piece:
 among the open bins that have room each goes where the sum of the squared counts of open
 bins per residual gap becomes smallest, the smallest gap among equals; a new bin is opened
-only when none has room (measured: that and longest first need the fewest sequences).
+only when none has room (README has the figures for that and for longest first).
 
 Only lengths matter for that. They are dealt at random into groups of a bounded number of
 pieces, so that groups have the same mix of lengths and a task packs one group whatever

@@ -15,7 +15,7 @@ steps are those of the difference-cover construction:
 
 Two samples are on offer. ``cover`` takes the positions whose remainder lies in a
 difference cover; ``content`` takes, of every stretch of neighbouring 64-byte strings, the one with
-the smallest hash, which has the same property and a sixth of the rows.
+the smallest hash, which has the same property at 1.4 % of the positions instead of 11 %.
 """
 
 from __future__ import annotations
