@@ -188,13 +188,13 @@ def invoice_rules(text: Column, confidence: Column, start: int = 1) -> Column:
 
 
 def scene_labels(text: Column, subject: str) -> Column:
-    """Up to ten labels of two characters or more after the first keyword of a subject that has any."""
+    """All labels of two characters or more after the first keyword of a subject that has any."""
 
     def after(keyword: str) -> Column:
         at = F.instr(text, F.lit(keyword))
         rest = strip(F.substr(text, at + len(keyword)))
         labels = F.filter(F.split(rest, r"[、。，；;,\s]+", -1), lambda p: F.length(p) >= 2)
-        return F.when(at > 0, F.nullif(F.array_join(F.slice(labels, 1, 10), ","), F.lit("")))
+        return F.when(at > 0, F.nullif(F.array_join(labels, ","), F.lit("")))
 
     return F.coalesce(*[after(word + subject) for word in ("除外", "包含", "除以下", "不承担下列")])
 

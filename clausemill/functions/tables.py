@@ -64,11 +64,11 @@ def can_merge(above: Column, below: Column, width_above: Column, width_below: Co
     )
 
 
-def shared_header_rows(above: Column, below: Column, limit: int = 5) -> Column:
-    """Number of leading rows equal in text and spans."""
+def shared_header_rows(above: Column, below: Column) -> Column:
+    """Number of leading rows equal in text and spans, however many."""
     pairs = F.zip_with(
-        F.slice(table_rows(above), 1, limit),
-        F.slice(table_rows(below), 1, limit),
+        table_rows(above),
+        table_rows(below),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
 
@@ -86,9 +86,9 @@ def shared_header_rows(above: Column, below: Column, limit: int = 5) -> Column:
     return F.aggregate(pairs, F.lit(0), step, lambda n: F.when(n < 0, -n - 1).otherwise(n))
 
 
-def concat_tables(above: Column, below: Column, limit: int = 5) -> Column:
+def concat_tables(above: Column, below: Column) -> Column:
     """The table above with the rows of the one below that follow their shared header."""
-    rest = let(table_rows(below), lambda r: F.slice(r, shared_header_rows(above, below, limit) + 1, F.greatest(F.size(r), F.lit(1))))
+    rest = let(table_rows(below), lambda r: F.slice(r, shared_header_rows(above, below) + 1, F.greatest(F.size(r), F.lit(1))))
     rows = F.concat(table_rows(above), rest)
     lines = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), r, F.lit("</tr>")))
     return F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>"))

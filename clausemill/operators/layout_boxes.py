@@ -13,7 +13,6 @@ from clausemill.functions import boxes as B
 from clausemill.session import cut_lineage
 
 CELL = 200
-MAX_ROUNDS = 50
 REGIONS = {1: "title", 2: "text", 3: "table", 4: "image", 5: "equation", 6: "discarded", 7: "footnote"}
 
 
@@ -95,15 +94,15 @@ def absorb_small(rows: DataFrame, page: str, threshold: float = 0.8, grow: bool
     ).drop("gx0", "gy0", "gx1", "gy1")
 
 
-def connected(edges: DataFrame, nodes: DataFrame, page: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame, page: str) -> DataFrame:
     """``(page, node, label)``: the lowest node of each connected group.
 
     Labels spread along edges and jump to their label's label, so rounds grow with
-    the logarithm of a chain. Each round is checkpointed, its stop test is one count.
+    the logarithm of a chain; labels only fall, so the loop ends by itself. Each round is checkpointed, its stop test is one count.
     """
     both = cut_lineage(edges.select(page, "a", "b").union(edges.select(page, "b", "a")).distinct())
     labels = cut_lineage(both.select(page, F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-    for _ in range(max_rounds):
+    while True:
         heard = (
             both.join(labels.withColumnsRenamed({"node": "b"}), [page, "b"])
             .groupBy(page, F.col("a").alias("node"))
@@ -122,7 +121,6 @@ def connected(edges: DataFrame, nodes: DataFrame, page: str, max_rounds: int = M
                 "label", F.coalesce("label", "node")
             )
         labels = after.drop("old")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds; raise max_rounds")
 
 
 def union_tables(rows: DataFrame, page: str, threshold: float = 0.7) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions import boxes as B
@@ -147,14 +149,14 @@ def virtual_lines(b, height: Column, page_w: Column, page_h: Column) -> Column:
     )
 
 
-def xy_cut(rows: DataFrame, page: str, max_depth: int = 12) -> DataFrame:
+def xy_cut(rows: DataFrame, page: str) -> DataFrame:
     """``position`` per box: pages fall into bands at y gaps, bands into columns at x gaps, and so on.
 
     Each round cuts every group of every page at once and is checkpointed; the loop
     ends when no group falls apart in either direction.
     """
     now = rows.select(page, "box_id", *B.COORDS, F.lit("").alias("path"))
-    for depth in range(max_depth):
+    for depth in itertools.count():
         split = now
         for lo, hi in (("y0", "y1"), ("x0", "x1")):
             w = Window.partitionBy(page, "path").orderBy(lo, hi, "box_id")

@@ -198,7 +198,7 @@ def invoices(spark, sf):
 
 def _labels_sql(subject):
     tries = [
-        f"case when contains(scene, '{w}{subject}') then nullif(array_to_string(list_slice(list_filter(regexp_split_to_array(trim(scene[instr(scene, '{w}{subject}') + {len(w + subject)}:]), '[、。，；;,\\s]+'), lambda p: length(p) >= 2), 1, 10), ','), '') end"
+        f"case when contains(scene, '{w}{subject}') then nullif(array_to_string(list_filter(regexp_split_to_array(trim(scene[instr(scene, '{w}{subject}') + {len(w + subject)}:]), '[、。，；;,\\s]+'), lambda p: length(p) >= 2), ','), '') end"
         for w in ("除外", "包含", "除以下", "不承担下列")
     ]
     return f"coalesce({', '.join(tries)})"
