@@ -11,7 +11,6 @@ from pyspark.sql import Column, functions as F
 from clausemill.functions.binding import let
 from clausemill.functions.text import SPACE, lines, strip
 
-MAX_LEVEL = 12
 HEADING = rf"^(#+){SPACE}+(.+)$"
 FILE_MARK = r"^FILE:\s*([^|]+?)(?:\s*\|\s*(.+))?$"
 _GAP = ""  # stands for a blank line outside code while paragraphs are joined
@@ -186,7 +185,7 @@ def chunk_by_header(text: Column) -> Column:
     both have the same path, or when the previous one ends in a heading line and
     this one is deeper (a heading without a body).
     """
-    pattern = rf"^#{{1,{MAX_LEVEL}}}( |$)"
+    pattern = "^#+( |$)"
 
     def sections(flagged: Column) -> Column:
         marks = F.filter(

@@ -9,8 +9,6 @@ from clausemill.functions.ordered import ordered_list
 from clausemill.functions.text import sorted_json, strip
 from clausemill.sources.stores import latest_containing
 
-MAX_TABLE_ROWS = 20
-CROWDED_NOTE = "> **注：由于表格行数过多，已按条款名称进行去重处理，仅展示每个条款的首条记录。**\n"
 NAME_RULES = (("生育", "E1_002", '{"P1":"1","P2":"女性生育"}'), ("自费", "E1_999", "自费"))
 NO_SCOPE = "拆解值为空，未能从文档中提取到赔付范围"
 
@@ -100,41 +98,22 @@ def first_non_empty(rows: DataFrame, group: list[str], value: str, order: str) -
     return rows.filter(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*group).agg(F.min_by(value, order).alias(value))
 
 
-def structure_table(plans: Column, max_rows: int = MAX_TABLE_ROWS) -> Column:
-    """Markdown table of a request's plans; a long one keeps the first row per clause and says so."""
-    dash = F.lit("-")
-    rows = F.transform(
-        plans,
-        lambda p: F.struct(
-            F.coalesce(F.nullif(p["clause_name"], F.lit("")), dash).alias("clause"),
-            F.concat(
-                F.lit("| "), F.coalesce(F.nullif(p["plan_name"], F.lit("")), dash),
-                F.lit(" | "), F.coalesce(F.nullif(p["clause_name"], F.lit("")), dash),
-                F.lit(" | "),
-                F.coalesce(
-                    F.nullif(F.array_join(F.filter(F.transform(p["liabilities"], lambda l: F.coalesce(l["liab_name"], F.lit(""))), lambda n: n != ""), "<br>"), F.lit("")),
-                    dash,
-                ),
-                F.lit(" |"),
-            ).alias("line"),
-        ),
-    )
-    clauses = F.transform(rows, lambda r: r["clause"])
-    firsts = F.filter(rows, lambda r, i: F.array_position(clauses, r["clause"]) == i + 1)
-    crowded = (F.size(rows) > max_rows) & (F.size(firsts) < F.size(rows))
-    head = ["| 计划 | 条款 | 责任 |", "|---|---|---|"]
-
-    def table(kept: Column, before: list[str], after: list[str]) -> Column:
-        lines = F.concat(
-            F.array(*[F.lit(x) for x in before + head]), F.transform(kept, lambda r: r["line"]), *([F.array(*[F.lit(x) for x in after])] if after else [])
+def structure_table(plans: Column) -> Column:
+    """Markdown table of a request's plans, a row per plan."""
+
+    def cell(value: Column) -> Column:
+        return F.coalesce(F.nullif(value, F.lit("")), F.lit("-"))
+
+    def line(p: Column) -> Column:
+        names = F.filter(F.transform(p["liabilities"], lambda l: F.coalesce(l["liab_name"], F.lit(""))), lambda n: n != "")
+        bar = F.lit(" | ")
+        return F.concat(
+            F.lit("| "), cell(p["plan_name"]), bar, cell(p["clause_name"]), bar, cell(F.array_join(names, "<br>")), F.lit(" |")
         )
-        return F.array_join(lines, "\n")
 
-    return (
-        F.when(F.coalesce(F.size(plans), F.lit(0)) == 0, "无计划数据")
-        .when(crowded, table(firsts, [CROWDED_NOTE], ["| ... | ... | ... |"]))
-        .otherwise(table(rows, [], []))
-    )
+    head = F.array(F.lit("| 计划 | 条款 | 责任 |"), F.lit("|---|---|---|"))
+    table = F.array_join(F.concat(head, F.transform(plans, line)), "\n")
+    return F.when(F.coalesce(F.size(plans), F.lit(0)) == 0, "无计划数据").otherwise(table)
 
 
 def tags_by_type(responses: DataFrame, key: str, items: str = "items") -> DataFrame:

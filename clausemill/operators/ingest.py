@@ -9,8 +9,7 @@ from clausemill.functions.dims import FILE_CLASSES
 from clausemill.functions.ordered import ordered_join
 from clausemill.functions import urls
 
-MAX_PLAIN_SIGNATURE = 10_000
-N_SIGNATURE_BUCKETS = 4096
+SIGNATURE_PREFIX = 3  # hex digits: 4,096 buckets of tokens per policy
 
 
 def exact_dedup(rows: DataFrame, content: str, order: list[str]) -> DataFrame:
@@ -42,30 +41,31 @@ def expand_one_hop(docs: DataFrame, links: DataFrame, store: DataFrame) -> DataF
     return exact_dedup(listed.unionByName(linked), "content", ["source_rank", "ord", "url"])
 
 
-def corpus_signature(
-    files: DataFrame, policy: str, name: str, etag: str, max_plain: int = MAX_PLAIN_SIGNATURE
-) -> DataFrame:
-    """``md5`` over the sorted ``name:etag`` tokens of each policy; a policy without etag has none.
+def corpus_signature(files: DataFrame, policy: str, name: str, etag: str) -> DataFrame:
+    """``(policy, n_files, signature)`` over the ``name:etag`` tokens of each policy.
 
-    A policy of more than ``max_plain`` files is hashed in two levels, buckets of
-    tokens first and their digests next, so no task holds more than a bucket of it.
+    Tokens are put in buckets by the first digits of their md5. A bucket's digest is the md5 of
+    its sorted tokens, the signature is the md5 of the digests in bucket order, both joined by
+    ``|``; so it is the same for every order of files and no task holds a policy whole. Files
+    without etag are left out; policies without any are in :func:`unsigned_policies`.
     """
     tokens = files.filter(F.coalesce(F.col(etag), F.lit("")) != "").select(
         policy, F.concat_ws(":", F.coalesce(F.col(name), F.lit("")), F.col(etag)).alias("token")
     )
-    sized = tokens.join(tokens.groupBy(policy).agg(F.count("*").alias("n_files")), policy)
-    bucket = F.when(F.col("n_files") > max_plain, F.pmod(F.xxhash64("token"), F.lit(N_SIGNATURE_BUCKETS))).otherwise(-1)
-    joined = (
-        sized.groupBy(policy, "n_files", bucket.alias("bucket"))
-        .agg(F.md5(F.array_join(F.array_sort(F.collect_list("token")), "|")).alias("digest"))
+    digests = tokens.groupBy(policy, F.substring(F.md5("token"), 1, SIGNATURE_PREFIX).alias("bucket")).agg(
+        F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("token")), "|")).alias("digest")
     )
-    return joined.groupBy(policy, "n_files").agg(
-        F.when(F.max("bucket") == -1, F.max("digest"))
-        .otherwise(F.md5(ordered_join([F.col("bucket")], F.col("digest"), "|")))
-        .alias("signature")
+    return digests.groupBy(policy).agg(
+        F.sum("n").alias("n_files"), F.md5(ordered_join([F.col("bucket")], F.col("digest"), "|")).alias("signature")
     )
 
 
+def unsigned_policies(files: DataFrame, policy: str, etag: str) -> DataFrame:
+    """``(policy, n_files)`` of the policies that have no file with an etag, for the rejects table."""
+    signed = F.max(F.coalesce(F.col(etag), F.lit("")) != "")
+    return files.groupBy(policy).agg(F.count("*").alias("n_files"), signed.alias("_signed")).filter("not _signed").drop("_signed")
+
+
 def plan_work(corpora: DataFrame, entries: DataFrame, keys: list[str], n_kinds: int = 3) -> DataFrame:
     """Corpora whose artefacts are not all there yet for their signature."""
     done = entries.groupBy(*keys).agg(F.count_distinct("kind").alias("n")).filter(F.col("n") >= n_kinds)
@@ -123,7 +123,7 @@ def append_typed_texts(merged: Column, texts: Column) -> Column:
     return F.concat(merged, F.array_join(added, ""))
 
 
-def sample_pages(pages: DataFrame, doc: str, page: str, n: int = 10) -> DataFrame:
+def sample_pages(pages: DataFrame, doc: str, page: str, n: int) -> DataFrame:
     """At most ``n`` pages per document, chosen by hash so that a rerun chooses the same."""
     pick = F.md5(F.concat_ws(":", F.col(doc).cast("string"), F.col(page).cast("string")))
     w = Window.partitionBy(doc).orderBy("_pick", page)

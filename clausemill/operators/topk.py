@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 MAX_QUERIES = 2_000
 ROWS_PER_SLICE = 100_000
+MATRIX_CELLS = 1 << 23  # of one numpy matrix of rows by query grams
 
 # (corpus batch, prepared queries, k) -> score matrix rows x queries, higher is better;
 # cells that cannot be among the k best may hold -inf.
@@ -72,14 +73,16 @@ def score_topk(
 
     Up to ``max_queries`` queries travel to the tasks as one block. More are cut
     into blocks, and each task takes one block and one slice of the corpus; the
-    answer is the same.
+    answer is the same. Without queries there are no rows.
     """
     spark = corpus.sparkSession
     rows = corpus.select(F.col(key).cast("long").alias("key"), F.col(payload).alias("payload"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(query_payload).alias("payload"))
     head = asked.limit(max_queries + 1).toPandas()  # bounded, and the only run when the queries fit
     schema = "query_id long, key long, score double"
-    if len(head) <= max_queries:
+    if head.empty:
+        local = spark.createDataFrame([], schema)
+    elif len(head) <= max_queries:
         block = spark.sparkContext.broadcast(head.sort_values("query_id", ignore_index=True))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,13 +183,17 @@ def string_match_scorer(char_weight: int = 1, pair_weight: int = 3) -> tuple[Cal
 
     def scorer(batch: pd.DataFrame, ready: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         grams, weights = ready
-        present = np.zeros((len(batch), len(grams)), dtype=np.float64)
-        for i, text in enumerate(batch["payload"]):
-            for codes in _grams(text or ""):
-                at = np.searchsorted(grams, codes)
-                at[at == len(grams)] = 0
-                present[i, at[grams[at] == codes]] = 1.0
-        scores = present @ weights
+        scores = np.zeros((len(batch), weights.shape[1]))
+        step = max(1, MATRIX_CELLS // max(1, len(grams)))
+        for lo in range(0, len(batch) if len(grams) else 0, step):
+            texts = batch["payload"].iloc[lo : lo + step]
+            present = np.zeros((len(texts), len(grams)))
+            for i, text in enumerate(texts):
+                for codes in _grams(text or ""):
+                    at = np.searchsorted(grams, codes)
+                    at[at == len(grams)] = 0
+                    present[i, at[grams[at] == codes]] = 1.0
+            scores[lo : lo + step] = present @ weights
         return np.where(scores > 0, scores, -np.inf)
 
     return prepare, scorer

@@ -76,7 +76,7 @@ MD_CHUNKS = f"""
 c_lines as (select doc_id, i - 1 as i, {sql_strip('ls[i]')} as s from (select doc_id, string_split(md, chr(10)) ls from md_docs), unnest(range(1, len(ls) + 1)) as u(i)),
 c_fence as (select *, regexp_matches(s, '^(```|~~~)') and not regexp_matches(s, '^```.*```') as f from c_lines),
 c_code as (select *, f or coalesce(sum(f::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as code from c_fence),
-c_head as (select *, not code and regexp_matches(s, '^#{{1,12}}( |$)') as h, length(regexp_extract(s, '^(#+)', 1)) as level from c_code),
+c_head as (select *, not code and regexp_matches(s, '^#+( |$)') as h, length(regexp_extract(s, '^(#+)', 1)) as level from c_code),
 c_title as (select *, case when h then {sql_strip('s[level + 1:]')} end as title, sum(h::int) over (partition by doc_id order by i) as sec from c_head),
 c_last as (select *, {_LAST} from c_title window w as (partition by doc_id order by i)),
 c_keep as (select *, {_KEEP} from c_last),

@@ -90,11 +90,11 @@ def confidence(spark, sf):
 
 @query(
     "p05_int_indexes",
-    with_ctes(_REPLIES, _LISTS, "select doc_id, string_agg(item->>'$.index', ',' order by pos) as indexes from items group by doc_id"),
+    with_ctes(_REPLIES, _LISTS, "select doc_id, coalesce(string_agg(item->>'$.index', ',' order by pos), '') as indexes from replies left join items using (doc_id) group by doc_id"),
 )
 def indexes(spark, sf):
     found = replies(spark, sf).select("doc_id", A.int_indexes(F.col("reply")).alias("i"))
-    return found.filter(F.size("i") > 0).select("doc_id", F.array_join(F.col("i").cast("array<string>"), ",").alias("indexes"))
+    return found.select("doc_id", F.coalesce(F.array_join(F.col("i").cast("array<string>"), ","), F.lit("")).alias("indexes"))
 
 
 @query("p06_outer_slice", with_ctes(_REPLIES, r"""

@@ -137,22 +137,19 @@ def first_notice(spark, sf):
 
 
 _TABLE = r"""
-p as (select o, plan_pos, plan_name, coalesce(clause_name, '-') as clause, string_agg(liab_name, '<br>' order by liab_pos) as resp from hrows group by all),
-n as (select *, count(*) over (partition by o) as n_rows, row_number() over (partition by o, clause order by plan_pos) as rn from p),
-c as (select *, count(*) filter (rn = 1) over (partition by o) as n_first from n),
-k as (select *, n_rows > 3 and n_first < n_rows as crowded from c)
+p as (select o, plan_pos, plan_name, coalesce(clause_name, '-') as clause, string_agg(liab_name, '<br>' order by liab_pos) as resp from hrows group by all)
 """
 
 
 @query(
     "h07_structure_table",
     with_ctes(_ROWS, _TABLE, f"""
-select o, case when bool_or(crowded) then '{H.CROWDED_NOTE.strip()}' || chr(10) || chr(10) else '' end || '| 计划 | 条款 | 责任 |' || chr(10) || '|---|---|---|' || chr(10) ||
-  string_agg('| ' || plan_name || ' | ' || clause || ' | ' || resp || ' |', chr(10) order by plan_pos) || case when bool_or(crowded) then chr(10) || '| ... | ... | ... |' else '' end as md
-from k where not crowded or rn = 1 group by o"""),
+select o, '| 计划 | 条款 | 责任 |' || chr(10) || '|---|---|---|' || chr(10) ||
+  string_agg('| ' || plan_name || ' | ' || clause || ' | ' || resp || ' |', chr(10) order by plan_pos) as md
+from p group by o"""),
 )
 def structure(spark, sf):
-    return requests(spark, sf).select("o", H.structure_table(F.col("plans"), 3).alias("md"))
+    return requests(spark, sf).select("o", H.structure_table(F.col("plans")).alias("md"))
 
 
 _TAGS = """

@@ -222,7 +222,10 @@ def one_hop(spark, sf):
 
 @query(
     "i05_corpus_signature",
-    """select source as policy_no, count(*) as n_files, md5(string_agg('doc_' || doc_id || ':' || md5(text), '|' order by 'doc_' || doc_id || ':' || md5(text))) as signature from documents group by source""",
+    """
+with tokens as (select source, 'doc_' || doc_id || ':' || md5(text) as token from documents where text is not null),
+digests as (select source, left(md5(token), 3) as bucket, count(*) as n, md5(string_agg(token, '|' order by token)) as digest from tokens group by all)
+select source as policy_no, sum(n)::bigint as n_files, md5(string_agg(digest, '|' order by bucket)) as signature from digests group by source""",
 )
 def signatures(spark, sf):
     files = load(spark, sf, "documents").select(
@@ -231,6 +234,17 @@ def signatures(spark, sf):
     return I.corpus_signature(files, "policy_no", "name", "etag")
 
 
+@query(
+    "i05_unsigned_policies",
+    "select o_custkey as policy_no, count(*) as n_files from orders group by o_custkey having count(*) filter (where o_orderstatus = 'P') = 0",
+)
+def unsigned(spark, sf):
+    files = load(spark, sf, "orders").select(
+        F.col("o_custkey").alias("policy_no"), F.when(F.col("o_orderstatus") == "P", F.md5(F.col("o_orderkey").cast("string"))).alias("etag")
+    )
+    return I.unsigned_policies(files, "policy_no", "etag")
+
+
 _ENTRIES = """
 entries as (select o_custkey as policy_no, o_orderkey as signature, unnest(case o_orderkey % 4 when 0 then ['catalog', 'parsed', 'chunks'] when 1 then ['catalog', 'chunks'] when 2 then ['parsed'] else ['catalog', 'catalog', 'parsed', 'chunks'] end) as kind from orders)
 """

@@ -106,8 +106,7 @@ def stream_ingest(spark, sf):
 @query("k02_stream_dedup", "select distinct md5(text) as content_md5 from documents")
 def stream_dedup(spark, sf):
     root = scratch(spark, "dedup")
-    docs = K.read_table_stream(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 86_400))
-    K.run_available(K.dedup_by_content(docs, "text", "ts", "10 days").select("content_md5"), K.batch_writer(f"{root}/out"), f"{root}/state")
+    K.dedup_into(K.read_table_stream(spark, sf, "documents"), "text", ["doc_id"], f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("content_md5")
 
 

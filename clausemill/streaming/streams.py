@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clausemill.operators.ingest import exact_dedup
+
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A growing table of parquet files as a stream."""
@@ -39,9 +41,23 @@ def ingest(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path:
     run_available(stream, lambda batch, batch_id: writer(operator(batch), batch_id), checkpoint)
 
 
-def dedup_by_content(stream: DataFrame, content: str, ts: str, delay: str) -> DataFrame:
-    """One row per content within the watermark delay."""
-    return stream.withColumn("content_md5", F.md5(content)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_md5"])
+def dedup_into(stream: DataFrame, content: str, order: list[str], path: str, checkpoint: str) -> None:
+    """Append the first row of each content to ``path``, with its ``content_md5``, however far copies are apart.
+
+    Copies within a batch go by :func:`exact_dedup` in the given order, copies of earlier batches by
+    an anti join with the stored hashes. A repeated batch replaces itself and does not see its own rows.
+    """
+    writer = batch_writer(path)
+    spark = stream.sparkSession
+    spark.createDataFrame([], "content_md5 string, batch long").write.mode("append").partitionBy("batch").parquet(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = batch.sparkSession.read.schema("content_md5 string, batch long").parquet(path)
+        seen = stored.filter(F.col("batch") != batch_id).select(F.col("content_md5").alias("seen"))
+        rows = exact_dedup(batch, content, order)
+        writer(rows.join(seen, rows["content_md5"].eqNullSafe(seen["seen"]), "left_anti"), batch_id)
+
+    run_available(stream, write, checkpoint)
 
 
 def window_counts(stream: DataFrame, key: str, ts: str, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -122,14 +123,33 @@ def test_contains_pairs(spark, limit):
 
 
 def test_large_policy_signature(spark):
-    files = [("big", f"f{i}", f"e{i}") for i in range(300)] + [("small", "a", "x"), ("small", "b", "y")]
-    sign = lambda rows: {
-        r.p: r.signature for r in I.corpus_signature(spark.createDataFrame(rows, "p string, n string, e string"), "p", "n", "e", 100).collect()
+    def expected(tokens):
+        buckets = {}
+        for token in sorted(tokens):
+            buckets.setdefault(md5(token.encode()).hexdigest()[:3], []).append(token)
+        return md5("|".join(md5("|".join(buckets[k]).encode()).hexdigest() for k in sorted(buckets)).encode()).hexdigest()
+
+    files = [("big", f"f{i}", f"e{i}") for i in range(20_001)] + [("small", "a", "x"), ("small", "b", "y"), ("bare", "c", None), ("bare", "d", "")]
+    df = spark.createDataFrame(files, "p string, n string, e string")
+    signed = {r.p: (r.n_files, r.signature) for r in I.corpus_signature(df, "p", "n", "e").collect()}
+    assert signed == {
+        "big": (20_001, expected(f"f{i}:e{i}" for i in range(20_001))), "small": (2, expected(["a:x", "b:y"])),
     }
-    first = sign(files)
-    assert sign(list(reversed(files))) == first
-    changed = sign([(p, n, "new" if n == "f7" else e) for p, n, e in files])
-    assert changed["big"] != first["big"] and changed["small"] == first["small"]
+    assert [tuple(r) for r in I.unsigned_policies(df, "p", "e").collect()] == [("bare", 2)]
+
+
+def test_no_work_for_topk(spark):
+    chunks = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0]), (2, "保险责任", [0.0, 1.0])], "chunk long, text string, v array<double>")
+    none = spark.createDataFrame([], "query_id long, q string, v array<double>")
+    index = R.term_table(chunks, "chunk", "text")
+    assert R.bm25_topk(index, "chunk", none, "q").collect() == []
+    assert R.string_match_topk(chunks, "chunk", "text", none, "q").collect() == []
+    assert R.vector_topk(chunks, "chunk", "v", none, "v").collect() == []
+    assert R.cosine_rank(chunks, "chunk", "v", none, "v").collect() == []
+    odd = spark.createDataFrame([(1, ""), (2, None), (3, "zzz")], "query_id long, q string")
+    assert R.bm25_topk(index, "chunk", odd, "q").collect() == []
+    assert R.string_match_topk(chunks, "chunk", "text", odd.filter("query_id < 3"), "q").collect() == []
+    assert R.bm25_topk(index, "chunk", odd, "q", max_queries=1).collect() == []
 
 
 def test_tokens_agree(spark):

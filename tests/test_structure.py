@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from clausemill.functions import markdown as M, tables as T
-from clausemill.operators import structure as S, tables as O
+from clausemill.operators import hierarchy as H, structure as S, tables as O
+from clausemill.streaming import streams as K
 
 POLICY = """# FILE: policy.md | 条款文档
 
@@ -99,3 +100,26 @@ def test_otsl(spark):
     assert [(x.r, x.c, x.row_span, x.col_span, x.text) for x in cells] == [
         (0, 0, 1, 2, "a"), (1, 0, 2, 1, "b"), (1, 1, 1, 1, ""), (2, 1, 1, 1, "c"),
     ]
+
+
+def test_any_number_of_marks(spark):
+    docs = spark.createDataFrame([(1, "# A\nx\n" + "#" * 13 + " B\ny")], "doc_id int, md string")
+    rows = S.chunks(docs, "doc_id", "md").orderBy("original_index").collect()
+    assert [(r.structure_path, r.structure_level) for r in rows][1][0] == "A/B" and len(rows) == 2
+
+
+def test_stream_dedup_across_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([(1, "a"), (2, "b"), (3, "a"), (4, None)], [(9_000_000, "a"), (9_000_001, "c"), (9_000_002, None)]):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+        K.dedup_into(stream, "text", ["doc_id"], out, str(tmp_path / "state"))
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2, 4, 9_000_001]
+
+
+def test_all_plan_rows(spark):
+    plan = "struct<plan_name:string, clause_name:string, liabilities:array<struct<liab_name:string>>>"
+    rows = [(f"p{i}", "c", [("x",), ("",), ("y",)]) for i in range(25)]
+    one = spark.createDataFrame([(rows,), ([],)], f"plans array<{plan}>").select(H.structure_table(F.col("plans")).alias("t"))
+    full, empty = [r.t for r in one.collect()]
+    assert full.split("\n")[2:] == [f"| p{i} | c | x<br>y |" for i in range(25)] and empty == "无计划数据"
