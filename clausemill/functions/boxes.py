@@ -62,6 +62,13 @@ def gap_distance(a, b) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def corner_distance(a, b) -> Column:
+    """City-block distance of the top left corners plus that of the bottom right ones, the smaller counted twice."""
+    start = F.abs(a[0] - b[0]) + F.abs(a[1] - b[1])
+    end = F.abs(a[2] - b[2]) + F.abs(a[3] - b[3])
+    return start + end + F.least(start, end)
+
+
 def axis_overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     """Share of the shorter of two spans that both have."""
     common = F.greatest(F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b), F.lit(0))

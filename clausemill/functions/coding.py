@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -223,7 +224,7 @@ def scene_rules(text: Column, start: int = 1, strict: bool = False) -> Column:
             return _has(bare, *words)
         found = F.lit(False)
         for word in words:
-            found = found | _has(F.replace(bare, F.lit("非" + word), F.lit("")), word)
+            found = found | bare.rlike("(?<!非)" + re.escape(word))
         return found
 
     sure = F.lit("1")

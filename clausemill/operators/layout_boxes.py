@@ -304,11 +304,15 @@ def list_members(items: DataFrame, lists: DataFrame, page: str, share: float = 0
 
 
 def match_text_to_cells(texts: DataFrame, cells: DataFrame, page: str) -> DataFrame:
-    """Each text with its best cell: highest IoU, then smallest gap, then lowest id; many texts may share one."""
+    """Each text with its best cell: highest IoU, then nearest corners, then lowest id; many texts may share one.
+
+    A text that shares no area with any cell has none.
+    """
     a, b = B.box("a_"), B.box("b_")
-    best = F.struct(-F.round(B.iou(a, b), 9), F.round(B.gap_distance(a, b), 6), F.col("b_box_id"))
+    best = F.struct(-F.round(B.iou(a, b), 9), F.round(B.corner_distance(a, b), 6), F.col("b_box_id"))
+    meets = touching_pairs(texts, cells, page, _COLUMNS).filter(B.intersection(a, b) > 0)
     return (
-        touching_pairs(texts, cells, page, _COLUMNS).groupBy(page, F.col("a_box_id").alias("box_id")).agg(F.min_by("b_box_id", best).alias("cell_id"))
+        meets.groupBy(page, F.col("a_box_id").alias("box_id")).agg(F.min_by("b_box_id", best).alias("cell_id"))
     )
 
 

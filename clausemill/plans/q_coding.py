@@ -207,8 +207,8 @@ def _labels_sql(subject):
 def _scene_sql(strict=False):
     arms = []
     for pos, (words, rule, kind) in enumerate(D.SCENE_RULES):
-        text = (lambda w: f"replace(scene, '非{w}', '')") if strict else (lambda w: "scene")
-        cond = " or ".join(f"contains({text(w)}, '{w}')" for w in words)
+        said = (lambda w: f"regexp_matches(scene, '(^|[^非])' || regexp_escape('{w}'))") if strict else (lambda w: f"contains(scene, '{w}')")
+        cond = " or ".join(said(w) for w in words)
         if kind == "yes":
             params = "'{\"P1\":\"Y\"}'"
         elif kind == "none":

@@ -254,7 +254,9 @@ def members(spark, sf):
 
 @query(
     "l45_match_text_to_cells",
-    with_ctes(BOXES, PAIRS, "select page, a as box_id, arg_min(b, {'i': -round(iou, 9), 'b': b}) as cell_id from prs where ca = 2 and cb in (3, 1) group by page, a"),
+    with_ctes(BOXES, PAIRS, """
+k as (select *, abs(ax0 - bx0) + abs(ay0 - by0) as st, abs(ax1 - bx1) + abs(ay1 - by1) as en from prs where ca = 2 and cb in (3, 1) and inter > 0)""", """
+select page, a as box_id, arg_min(b, {'i': -round(iou, 9), 'd': round(st + en + least(st, en), 6), 'b': b}) as cell_id from k group by page, a"""),
 )
 def matched(spark, sf):
     return L.match_text_to_cells(cat(spark, sf, 2), cat(spark, sf, 3, 1), "page")

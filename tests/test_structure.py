@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from clausemill.functions import markdown as M, tables as T
-from clausemill.operators import hierarchy as H, structure as S, tables as O
+from clausemill.functions import coding as C, markdown as M, tables as T
+from clausemill.operators import hierarchy as H, layout_boxes as L, structure as S, tables as O
 from clausemill.streaming import streams as K
 
 POLICY = """# FILE: policy.md | 条款文档
@@ -123,3 +123,19 @@ def test_all_plan_rows(spark):
     one = spark.createDataFrame([(rows,), ([],)], f"plans array<{plan}>").select(H.structure_table(F.col("plans")).alias("t"))
     full, empty = [r.t for r in one.collect()]
     assert full.split("\n")[2:] == [f"| p{i} | c | x<br>y |" for i in range(25)] and empty == "无计划数据"
+
+
+def test_word_after_non_is_not_counted(spark):
+    texts = spark.createDataFrame([("非住院",), ("住非住院院",), ("非住院，住院",)], "t string")
+    fired = lambda strict: [
+        len(r[0]) for r in texts.select(C.scene_rules(F.col("t"), strict=strict)).collect()
+    ]
+    loose, strict = fired(False), fired(True)
+    assert strict[0] == strict[1] <= loose[0] and strict[2] == loose[2]
+
+
+def test_text_that_touches_a_cell_has_none(spark):
+    box = "page long, box_id long, x0 double, y0 double, x1 double, y1 double, score double"
+    texts = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 1.0), (1, 2, 20.0, 0.0, 30.0, 10.0, 1.0)], box)
+    cells = spark.createDataFrame([(1, 7, 10.0, 0.0, 20.0, 10.0, 1.0), (1, 8, 22.0, 0.0, 40.0, 10.0, 1.0)], box)
+    assert [tuple(r) for r in L.match_text_to_cells(texts, cells, "page").collect()] == [(1, 2, 8)]
