@@ -9,8 +9,9 @@ are made, so a long text costs little more than one step per shingle.
 
 Signatures are cut into bands. Texts of a bucket are compared with one pivot of it first, the one
 that shares most buckets. What this leaves in different components is compared inside
-blocks of a bucket by whole signatures, and only pairs whose signatures allow the similarity become
-rows and are verified. So no link is lost, but a large group never becomes all of its pairs.
+blocks of a bucket: by whole signatures, then by the overlap of the hashed shingles, which travel with
+the texts. Only pairs that pass both and connect two components of their block become rows and are
+verified word by word. So no component is split, but a large group never becomes all of its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 PIVOT_ROUNDS = 2
 BLOCK = 1_000
+# Shingles of a block: 16 MB as hashes.
+BLOCK_WEIGHT = 2_000_000
 # Five standard errors of a signature's estimate below the limit: a pair at the limit falls short in 2 of 10 million cases.
 ESTIMATE = 0.68
 
@@ -153,14 +156,7 @@ def _signed(docs: DataFrame, bands: Bands) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= _CHARS_AT_ONCE):
-                    chars += len(texts[end])
-                    end += 1
-                some = texts[at:end]
+            for at, some in _portions(batch.column(1).to_pylist()):
                 doc, value, count = shingles(some)
                 weight = np.bincount(doc, weights=count, minlength=len(some)).astype(np.int64)
                 times = signatures(doc, value, count, len(some), bands.slots)
@@ -171,20 +167,51 @@ def _signed(docs: DataFrame, bands: Bands) -> DataFrame:
                     pa.array(np.append(0, ends), pa.int32()), pa.array(hashes[has].reshape(-1), pa.int64())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array(weight), lists, pa.array([m.tobytes() for m in marks], pa.binary())],
+                    [batch.column(0).slice(at, len(some)), pa.array(weight), lists, pa.array([m.tobytes() for m in marks], pa.binary())],
                     ["digest", "weight", "bands", "marks"],
                 )
-                at = end
 
     rows = docs.select(_digest().alias("digest"), text_of().alias("text"))
     return rows.mapInArrow(sign, "digest string, weight long, bands array<long>, marks binary")
 
 
-def _digest() -> Column:
-    return F.md5(text_of())
+def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """``texts`` in pieces of bounded length, each with its first index."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end]) <= _CHARS_AT_ONCE):
+            chars += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
+def bags(texts: list[str]) -> list[np.ndarray]:
+    """Each text's shingles as sorted numbers; the n-th occurrence of a shingle has a number of its own."""
+    doc, value, count = shingles(texts)
+    row = np.repeat(np.arange(len(doc)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        number = _mix(value[row] + nth.astype(np.uint64) * _MIX)
+    order = np.lexsort((number, doc[row]))
+    return np.split(number[order], np.cumsum(np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64))[:-1])
 
 
+def _bagged(texts: DataFrame) -> DataFrame:
+    """``(id, bag)``: the shingles of ``texts (id, text)`` as bytes of :func:`bags`."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in _portions(batch.column(1).to_pylist()):
+                held = pa.array([b.tobytes() for b in bags(some)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), held], ["id", "bag"])
+
+    return texts.select("id", "text").mapInArrow(count, "id long, bag binary")
+
+
+def _digest() -> Column:
+    return F.md5(text_of())
 
 
 def similarity(a: str, b: str) -> float:
@@ -253,23 +280,28 @@ def links_of(members: DataFrame, texts: DataFrame, marks: DataFrame, bands: Band
         found = verified(stored(pairs, "pairs"), texts)
         links = cut_lineage(found if links is None else links.union(found))
     labelled = _labelled(members, links)
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(marks, "id")
-    return links.union(verified(stored(_likely(rest, bands).distinct(), "pairs"), texts))
+    mixed = labelled.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("weight").alias("total")
+    ).filter("low < high").select("bucket", "total")
+    rest = stored(labelled.join(mixed, "bucket"), "rest")
+    wanted = texts.join(rest.select("id").distinct(), "id", "left_semi")
+    held = stored(_bagged(wanted).join(marks, "id"), "bags")
+    return links.union(verified(stored(_likely(rest.join(held, "id"), bands).distinct(), "pairs"), texts))
 
 
 def _likely(rest: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket with different labels whose weights and signatures allow the similarity.
+    """Pairs ``(a, b)`` of a bucket with the similarity by hashed shingles that connect different labels.
 
-    A bucket is cut into blocks of about ``BLOCK`` texts; a task compares two blocks at a time. A pair
-    comes from the first band it shares, not from every one.
+    A bucket is cut into blocks of about ``BLOCK`` texts and ``BLOCK_WEIGHT`` shingles; a task compares two
+    blocks at a time. A pair comes from the first band it shares, not from every one, and a pair whose labels
+    other pairs of the same blocks connect does not come at all.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WEIGHT)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = rest.withColumn("block", block).withColumn("other", other).select(
         "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "weight", "label", "marks",
+        "block", "id", "weight", "label", "marks", "bag",
     )
     keys = ["bucket", "low", "high"]
 
@@ -297,28 +329,35 @@ def _group_starts(rows: pa.Table) -> list[int]:
 
 
 def _close(rows: pa.Table, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of one group: between its two blocks, or within its one block."""
-    ids, weight, label, block = (rows.column(k).to_numpy() for k in ("id", "weight", "label", "block"))
+    """Similar pairs of one group: between its two blocks, or within its one block."""
+    ids, weight, label, block = (rows.column(k).to_numpy().copy() for k in ("id", "weight", "label", "block"))
     band, low, high = (rows.column(k)[0].as_py() for k in ("band", "low", "high"))
     marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint8).reshape(len(ids), bands.slots)
+    held = [np.frombuffer(b, dtype=np.uint64) for b in rows.column("bag").to_pylist()]
     left = np.flatnonzero(block == low)
     right = np.flatnonzero(block == high)
+    found: list[tuple[int, int]] = []
     for i in left:
         j = right[(label[right] != label[i]) & (np.minimum(weight[right], weight[i]) >= (SIMILARITY - 1e-9) * np.maximum(weight[right], weight[i]))]
         j = j[ids[j] > ids[i]] if low == high else j
-        if not len(j):
-            continue
         same = marks[j] == marks[i]
         share = same.mean(1)
-        j, same = j[share - (1 - share) / 255 >= ESTIMATE], same[share - (1 - share) / 255 >= ESTIMATE]
-        if not len(j):
-            continue
-        shared = same.reshape(len(j), bands.bands, bands.rows).all(2)
-        j = j[shared.argmax(1) == band]
-        if len(j):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(ids[j], ids[i])), pa.array(np.maximum(ids[j], ids[i]))], ["a", "b"]
-            )
+        likely = share - (1 - share) / 255 >= ESTIMATE
+        j, same = j[likely], same[likely]
+        first = same.reshape(len(j), bands.bands, bands.rows).all(2).argmax(1) if len(j) else j
+        for k in j[first == band]:
+            if label[k] != label[i] and _overlaps(held[i], held[k]):
+                found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                label[label == label[k]] = label[i]
+    if found:
+        a, b = np.array(found, dtype=np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two bags of at least one shingle have the similarity."""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= (SIMILARITY - 1e-12) * (len(a) + len(b) - both)
 
 
 def _comparable(a: str, b: str) -> Column:

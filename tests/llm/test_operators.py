@@ -151,13 +151,24 @@ def test_pivots_lose_no_link(spark, monkeypatch):
     # All twelve in each of the buckets that any two of them share.
     members = spark.createDataFrame([(k, k, 12, i, 116) for k in range(48) for i, _ in texts], "bucket long, band int, n long, id long, weight long")
     marks = spark.createDataFrame([(i, of[key[i]].marks) for i, _ in texts], "id long, marks binary")
-    for block in (near_dedup.BLOCK, 3):
+    for block, weight in ((near_dedup.BLOCK, near_dedup.BLOCK_WEIGHT), (3, 10_000), (1_000, 400)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_WEIGHT", weight)
         links = near_dedup.links_of(members, spark.createDataFrame(texts, "id long, text string"), marks)
         labels = {r.id: r.label for r in graph.components(links).collect()}
         assert labels == {i: 0 for i in range(12)}
 
 
+def test_bags_keep_counts():
+    texts = ["a b c d e f", "x y", "", " \n", "a b c d e a b c d e a b c d e", "a b c d e f g h"]
+    found = near_dedup.bags(texts)
+    assert [len(b) for b in found] == [sum(near_dedup._bag(t).values()) for t in texts]
+    for a, x in zip(found, texts):
+        for b, y in zip(found, texts):
+            if len(a) and len(b):
+                assert near_dedup._overlaps(a, b) == (near_dedup.similarity(x, y) >= near_dedup.SIMILARITY)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rnd.randrange(2000, 2300), rnd.randrange(2000, 2300)) for _ in range(150)]
