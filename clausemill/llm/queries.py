@@ -70,7 +70,7 @@ def url_filters(spark, sf):
 
 @query("op6_line_dedup")
 def content_defined_line_dedup(spark, sf):
-    return line_dedup.line_dedup(load(spark, sf, "documents").select("doc_id", "text", "n_chars")).select(
+    return line_dedup.run_dedup(load(spark, sf, "documents").select("doc_id", "text", "n_chars")).select(
         "doc_id", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")
     )
 

@@ -145,6 +145,29 @@ def line_dedup(rows):
     return [t if new[d, t or ""] is None else new[d, t or ""] for d, t in rows]
 
 
+def run_dedup(rows):
+    """New texts of ``rows [(doc_id, text)]`` without any run of lines that is equal to an earlier one apart from it."""
+    order = sorted(
+        {(d, t or "") for d, t in rows},
+        key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{'null' if r[0] is None else r[0]}|{r[1]}".encode()).hexdigest()),
+    )
+    first, gone = {}, {}
+    split = [t.split("\n") for _, t in order]
+    for n, lines in enumerate(split):
+        for i in range(len(lines)):
+            for j in range(i + 2, len(lines) + 1):
+                first.setdefault(tuple(lines[i:j]), (n, i))
+    for n, lines in enumerate(split):
+        cut = set()
+        for i in range(len(lines)):
+            for j in range(i + 2, len(lines) + 1):
+                m, at = first[tuple(lines[i:j])]
+                if sum(bool(re.search(r"[^ \t\n\x0b\f\r]", x)) for x in lines[i:j]) >= 2 and (m < n or at + j - i <= i):
+                    cut.update(range(i, j))
+        gone[order[n]] = "\n".join(x for i, x in enumerate(lines) if i not in cut) if cut else None
+    return [t if gone[d, t or ""] is None else gone[d, t or ""] for d, t in rows]
+
+
 def quality(rows):
     """[(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)] of texts."""
     out = []

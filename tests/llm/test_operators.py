@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.llm import (
-    decontaminate, graph, line_dedup, near_dedup, packing, quality, records, sharding, suffix_dedup, tokens, url_filter, warc,
+    decontaminate, graph, line_dedup, near_dedup, packing, quality, queries, records, sharding, suffix_dedup, tokens, url_filter, warc,
 )
 from clausemill.session import load
 from tests.llm import brute
@@ -268,6 +268,34 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_run_dedup_finds_all_equal_runs(spark, empty):
+    rnd = random.Random(8)
+    passages = [[f"passage {p} line {i}" if i % 4 or rnd.random() < 0.5 else rnd.choice(["", " \t"]) for i in range(n)] for p, n in enumerate((1, 2, 2, 3, 4, 5, 9))]
+    texts = []
+    for d in range(60):
+        lines = []
+        for k in range(rnd.randrange(1, 4)):
+            lines += [f"own line {d} {k} {i}" if rnd.random() < 0.7 else "" for i in range(rnd.randrange(3))] + rnd.choice(passages)
+        texts.append("\n".join(lines))
+    texts += [None, "", "\n\n", "same\nsame\nsame\nsame\nsame", "a\nb\na\nb\na", "a\n\na\n\na\n\na\n\n", "\n\nx\ny\n\n", "z\n\nx\ny\n\n\n", "x\ny", "ñ\r\n漢\r", "q\nñ\r\n漢\r"]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(None, texts[4]), (None, texts[9]), (3, texts[3])]
+    got = line_dedup.run_dedup(frame(spark, rows))
+    key = lambda d, t: (d is None, d or 0, t is None, t or "")
+    want = brute.run_dedup(rows)
+    assert sorted(key(r.doc_id, r.text) for r in got.collect()) == sorted(key(d, w) for (d, _), w in zip(rows, want))
+    # What the comparison of whole chunks leaves.
+    assert sum(map(len, filter(None, want))) < sum(map(len, filter(None, brute.line_dedup(rows))))
+    assert line_dedup.run_dedup(empty).count() == 0
+
+
+def test_op6_removes_a_short_passage_between_other_lines(spark, tmp_path):
+    shared = "the first shared line\nthe second shared line"
+    texts = [f"head {d}\n{shared}\ntail {d}" for d in range(20)]
+    spark.createDataFrame([(d, t, len(t)) for d, t in enumerate(texts)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_chars for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {d: len(t) if d == 0 else len(t) - len(shared) - 1 for d, t in enumerate(texts)}
+
+
 def test_records(spark, docs, rows, empty):
     folder = tempfile.mkdtemp(prefix="run-")
     records.write(docs, folder, WORD_BPE)
