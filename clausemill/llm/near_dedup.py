@@ -285,15 +285,20 @@ def links_of(members: DataFrame, texts: DataFrame, marks: DataFrame, bands: Band
     ).filter("low < high").select("bucket", "total")
     rest = stored(labelled.join(mixed, "bucket"), "rest")
     wanted = texts.join(rest.select("id").distinct(), "id", "left_semi")
-    held = stored(_bagged(wanted).join(marks, "id"), "bags")
+    held = stored(_bagged(wanted).join(marks, "id").join(_places(rest), "id"), "bags")
     return links.union(verified(stored(_likely(rest.join(held, "id"), bands).distinct(), "pairs"), texts))
 
 
+def _places(rest: DataFrame) -> DataFrame:
+    """``(id, places)``: the bands and buckets of each text of ``rest``."""
+    return rest.groupBy("id").agg(F.collect_list(F.struct("band", "bucket")).alias("places"))
+
+
 def _likely(rest: DataFrame, bands: Bands) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket with the similarity by hashed shingles that connect different labels.
 
     A bucket is cut into blocks of about ``BLOCK`` texts and ``BLOCK_WEIGHT`` shingles; a task compares two
-    blocks at a time. A pair comes from the first band it shares, not from every one, and a pair whose labels
+    blocks at a time. A pair comes from the first band whose bucket (``places``) it shares, not from every one, and a pair whose labels
     other pairs of the same blocks connect does not come at all.
     """
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_WEIGHT)).cast("int")
@@ -301,7 +306,7 @@ def _likely(rest: DataFrame, bands: Bands) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = rest.withColumn("block", block).withColumn("other", other).select(
         "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "weight", "label", "marks", "bag",
+        "block", "id", "weight", "label", "marks", "bag", "places",
     )
     keys = ["bucket", "low", "high"]
 
@@ -334,17 +339,16 @@ def _close(rows: pa.Table, bands: Bands) -> Iterator[pa.RecordBatch]:
     band, low, high = (rows.column(k)[0].as_py() for k in ("band", "low", "high"))
     marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint8).reshape(len(ids), bands.slots)
     held = [np.frombuffer(b, dtype=np.uint64) for b in rows.column("bag").to_pylist()]
+    bucket, has = _bucket_table(rows.column("places"), bands)
     left = np.flatnonzero(block == low)
     right = np.flatnonzero(block == high)
     found: list[tuple[int, int]] = []
     for i in left:
         j = right[(label[right] != label[i]) & (np.minimum(weight[right], weight[i]) >= (SIMILARITY - 1e-9) * np.maximum(weight[right], weight[i]))]
         j = j[ids[j] > ids[i]] if low == high else j
-        same = marks[j] == marks[i]
-        share = same.mean(1)
-        likely = share - (1 - share) / 255 >= ESTIMATE
-        j, same = j[likely], same[likely]
-        first = same.reshape(len(j), bands.bands, bands.rows).all(2).argmax(1) if len(j) else j
+        share = (marks[j] == marks[i]).mean(1)
+        j = j[share - (1 - share) / 255 >= ESTIMATE]
+        first = ((bucket[j] == bucket[i]) & has[j] & has[i]).argmax(1)
         for k in j[first == band]:
             if label[k] != label[i] and _overlaps(held[i], held[k]):
                 found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
@@ -354,6 +358,17 @@ def _close(rows: pa.Table, bands: Bands) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _bucket_table(places: pa.ChunkedArray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each text and band, and whether there is one."""
+    lists = places.combine_chunks()
+    text, at = lists.value_parent_indices().to_numpy(), lists.flatten()
+    band = at.field("band").to_numpy()
+    bucket, has = np.zeros((len(lists), bands.bands), np.int64), np.zeros((len(lists), bands.bands), bool)
+    bucket[text, band] = at.field("bucket").to_numpy()
+    has[text, band] = True
+    return bucket, has
+
+
 def _overlaps(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two bags of at least one shingle have the similarity."""
     both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())

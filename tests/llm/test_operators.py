@@ -159,6 +159,32 @@ def test_pivots_lose_no_link(spark, monkeypatch):
         assert labels == {i: 0 for i in range(12)}
 
 
+def test_blocks_compare_every_pair_that_shares_a_band(spark):
+    """Pairs of signatures at 0.8; chance equality of bytes in an earlier band must not hide the band that is shared."""
+    bands, n = near_dedup.Bands(), 10_000
+    rnd = np.random.default_rng(11)
+    a = rnd.random((n, bands.slots))
+    b = np.where(rnd.random(a.shape) < 0.8, a, rnd.random(a.shape))
+    x, y = near_dedup.band_hashes(a, bands), near_dedup.band_hashes(b, bands)
+    p, q = near_dedup._marks(a), near_dedup._marks(b)
+    share = (p == q).mean(1)
+    expected = (x == y).any(1) & (share - (1 - share) / 255 >= near_dedup.ESTIMATE)
+    misled = (p == q).reshape(n, bands.bands, bands.rows).all(2).argmax(1) != (x == y).argmax(1)
+    # All pairs that bytes would mislead, and some others.
+    chosen = np.flatnonzero(expected & misled).tolist() + np.flatnonzero(expected & ~misled)[:100].tolist()
+    assert (expected & misled).sum() > 20
+    bag = near_dedup.bags(["one two three four five six"])[0].tobytes()
+    members, held = [], []
+    for k in chosen:
+        for i, marks in ((2 * k, p[k]), (2 * k + 1, q[k])):
+            held.append((i, marks.tobytes(), bag))
+            members += [(int(x[k, at]), int(at), 2, i, 2, i, 4) for at in np.flatnonzero(x[k] == y[k])]
+    rest = spark.createDataFrame(members, "bucket long, band int, n long, id long, weight long, label long, total long")
+    held = spark.createDataFrame(held, "id long, marks binary, bag binary").join(near_dedup._places(rest), "id")
+    got = sorted((r.a, r.b) for r in near_dedup._likely(rest.join(held, "id"), bands).collect())
+    assert got == sorted((2 * k, 2 * k + 1) for k in chosen)
+
+
 def test_bags_keep_counts():
     texts = ["a b c d e f", "x y", "", " \n", "a b c d e a b c d e a b c d e", "a b c d e f g h"]
     found = near_dedup.bags(texts)
