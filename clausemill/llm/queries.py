@@ -132,7 +132,9 @@ select doc_id, n_bytes::bigint as n_bytes, shard, depth, shard_bytes from d join
 where t.shard_bytes <= {SHARD_BYTES} or t.depth = 60""",
 )
 def extendible_sharding(spark, sf):
-    return sharding.shards(load(spark, sf, "documents"), SHARD_BYTES)
+    docs, folder = load(spark, sf, "documents"), f"{shared_folder(spark, 'shards')}/shards"
+    sharding.write_shards(docs, SHARD_BYTES, folder)
+    return sharding.read_shards(spark, docs.schema, folder)
 
 
 @query(

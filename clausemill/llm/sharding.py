@@ -8,7 +8,8 @@ of these bits leaves too large go on with the next stretch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clausemill.llm.common import cut_lineage, small_side, text_of
 
@@ -92,3 +93,16 @@ def write_shards(docs: DataFrame, max_bytes: int, folder: str) -> None:
         "row.*", F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard_name")
     )
     named.repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
+
+
+def read_shards(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    """``(doc_id, n_bytes, shard, depth, shard_bytes)`` of the rows that :func:`write_shards` wrote with columns of ``schema``."""
+    # Named as a string, or a prefix such as 0101 would be read as a number.
+    rows = spark.read.schema(StructType([*schema.fields, StructField("shard_name", StringType())])).parquet(folder).select(
+        F.col("doc_id").cast("long").alias("doc_id"), _n_bytes().alias("n_bytes"),
+        F.when(F.col("shard_name") == "root", "").otherwise(F.col("shard_name")).alias("shard"),
+    )
+    totals = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    return rows.join(small_side(cut_lineage(totals)), "shard").select(
+        "doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes"
+    )

@@ -392,6 +392,16 @@ def test_shards(spark, docs, rows, empty, limit):
         assert set(os.listdir(folder)) >= {f"shard_name={p or 'root'}" for p, _ in want.values()}
 
 
+def test_op9_reads_what_it_wrote(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="run-")
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, name: folder)
+    monkeypatch.setattr(queries, "SHARD_BYTES", 60_000)
+    got = sorted(map(tuple, queries.QUERIES["op9_extendible_sharding"](spark, SF).collect()))
+    documents = load(spark, SF, "documents")
+    assert got == sorted(map(tuple, sharding.shards(documents, 60_000).collect())) and len({r[2] for r in got}) > 4
+    assert spark.read.parquet(f"{folder}/shards").count() == documents.count()
+
+
 def test_warc(spark):
     rnd = random.Random(7)
     same = "copy " * 400
