@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from clausemill.llm import (
-    decontaminate, line_dedup, near_dedup, packing, quality, records, sharding, suffix_dedup, url_filter, warc,
+    decontaminate, line_dedup, near_dedup, packing, quality, records, runs, sharding, suffix_dedup, url_filter, warc,
 )
 from clausemill.llm.common import shared_folder
 from clausemill.session import load
@@ -151,6 +151,38 @@ def warc_archives(spark, sf):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _echoed(docs):
+    """``(doc_id, text)``; where the id's checksum says so, the text's words repeat from some place on to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(F.pmod(h, F.lit(10)) == 0, words).alias("words"))
+    n, g = F.size("words"), F.col("g")
+    rows = rows.select("*", n.alias("n"), F.when(n > 0, F.pmod(g, n).cast("int")).alias("a"))
+    rest = F.col("n") - F.col("a")
+    rows = rows.select("*", (F.floor(rest / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int").alias("p"))
+    # A period of more words than are left is cut with the rest.
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    told = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, told).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf):
+    docs = _echoed(load(spark, sf, "documents"))
+    name = runs.runs_column(docs)
+    found = runs.periodic_runs(docs).select("doc_id", f"{name}.runs", f"{name}.collapsed")
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    best = found.select("*", runs.strongest(F.col("runs")).alias("best"))
+    milli = 1000 * F.col("best.length")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        ((milli - F.pmod(milli, F.col("best.period"))) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
