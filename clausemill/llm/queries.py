@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from clausemill.llm import (
-    decontaminate, line_dedup, near_dedup, packing, quality, records, runs, sharding, suffix_dedup, url_filter, warc,
+    classifier, decontaminate, line_dedup, near_dedup, packing, quality, records, runs, sharding, suffix_dedup, url_filter, warc,
 )
 from clausemill.llm.common import shared_folder
 from clausemill.session import load
@@ -183,6 +183,20 @@ def periodic_runs(spark, sf):
     )
 
 
+def held_out():
+    """Whether a document's label is kept for the test."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+@query("op13_quality_classifier")
+def quality_classifier(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    labels = load(spark, sf, "labels").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    net = classifier.fit(docs, labels)
+    scored = classifier.score(docs, net).withColumnRenamed(classifier.score_column(docs), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
