@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from clausemill.llm import (
-    classifier, decontaminate, line_dedup, near_dedup, packing, quality, records, runs, sharding, suffix_dedup, url_filter, warc,
+    classifier, decontaminate, lexical, line_dedup, near_dedup, packing, quality, records, runs, sharding, suffix_dedup, url_filter, warc,
 )
 from clausemill.llm.common import shared_folder
 from clausemill.session import load
@@ -197,6 +197,28 @@ def quality_classifier(spark, sf):
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+_TERMS = r"regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LOWER = "translate(unnest(%s), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" % _TERMS
+
+
+@query(
+    "op12_ranked_lexical_search",
+    f"""with t as (select doc_id, {_LOWER} as term from documents),
+p as (select doc_id, term, count(*) as tf from t group by all),
+d as (select doc_id, sum(tf)::bigint as n from p group by doc_id),
+s as (select count(*) as n_docs, sum(n)::bigint as n_terms from d),
+z as (select doc_id, 25 + (75 * n * n_docs) // n_terms as m from d, s),
+f as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by term),
+q as (select item_id, term, count(*) as times from (select item_id, {_LOWER} as term from benchmark) group by all),
+r as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from q join f using (term) join p using (term) join z using (doc_id) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from r where score > 0 qualify rank <= 10""",
+)
+def ranked_lexical_search(spark, sf):
+    index = lexical.build_index(load(spark, sf, "documents"), f"{shared_folder(spark, 'lexical')}/index")
+    return lexical.search(index, load(spark, sf, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
