@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import math
 import re
 import struct
 from collections import Counter, defaultdict
@@ -218,3 +219,57 @@ def shard_of(rows, limit):
 
     split("", range(len(rows)))
     return out
+
+
+def runs(words, min_length, min_copies):
+    """All (start, length, period) by comparing every word with the one a period later."""
+    found = []
+    for p in range(1, len(words) // 2 + 1):
+        s = 0
+        while s + p < len(words):
+            e = s
+            while e + p < len(words) and words[e] == words[e + p]:
+                e += 1
+            length = e + p - s
+            if e > s and length >= max(min_length, min_copies * p):
+                w = words[s : s + length]
+                if not any(w[q:] == w[:-q] for q in range(1, p)):
+                    found.append((s, length, p))
+            s = e + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for s, length, p in found for i in range(s + p, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def lyndon_lengths(word):
+    """Longest Lyndon word from each position by the definition: less than all its proper suffixes."""
+    n = len(word)
+    return [max(k for k in range(1, n - i + 1) if all(word[i : i + k] < word[j : i + k] for j in range(i + 1, i + k))) for i in range(n)]
+
+
+def index_terms(text):
+    return [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            for t in re.findall("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+
+
+def search(docs, queries, k):
+    """``[(item, rank, doc_id, score)]`` of ``[(id, text)]`` lists."""
+    bags = [(d, Counter(index_terms(t))) for d, t in docs if d is not None]
+    bags = [(d, c) for d, c in bags if c]
+    n_docs, n_terms = len(bags), sum(sum(c.values()) for _, c in bags)
+    df = Counter(t for _, c in bags for t in c)
+    found = []
+    for item, text in queries:
+        asked = Counter(index_terms(text))
+        hits = []
+        for d, c in bags:
+            m = 25 + 75 * sum(c.values()) * n_docs // n_terms
+            score = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+                        for t, times in asked.items() if t in c)
+            if score > 0:
+                hits.append((-score, d))
+        found += [(item, r + 1, d, -s) for r, (s, d) in enumerate(sorted(hits)[:k])]
+    return found
