@@ -1,12 +1,7 @@
-"""Tokens and term counts of one text."""
+"""Tokens of one text."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Domain terms that must stay whole.
@@ -15,30 +10,8 @@ FORCED_TERMS = ("等待期", "责任免除", "免责条款", "既往症")
 _HAN = ((0x2E80, 0x2FD5), (0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAD9), (0x20000, 0x323AF))
 HAN = "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in _HAN)
 TOKEN = rf"(?:[^\P{{L}}{HAN}]++|[^\P{{N}}{HAN}]++)+|" + "|".join(FORCED_TERMS) + f"|[{HAN}]"
-_PY_TOKEN = re.compile(rf"[^\W_{HAN}]+|" + "|".join(FORCED_TERMS) + f"|[{HAN}]")
 
 
 def tokenize(text: Column) -> Column:
     """Words of alphabetic scripts, the forced terms, and single characters of Han text."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-
-def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        counts = [Counter(_PY_TOKEN.findall(t)) if t else Counter() for t in batch]
-        yield pd.DataFrame(
-            {
-                "doc_len": [sum(c.values()) for c in counts],
-                "terms": [list(c) for c in counts],
-                "tfs": [list(c.values()) for c in counts],
-            }
-        )
-
-
-def term_counts(text: Column) -> Column:
-    """``(doc_len, terms, tfs)``: token count, distinct terms and their counts.
-
-    Counting inside a row needs a sort and a lambda call per token in the JVM; an
-    Arrow batch does it in about a third of the time.
-    """
-    return F.pandas_udf(_count, "struct<doc_len:int,terms:array<string>,tfs:array<int>>")(text)

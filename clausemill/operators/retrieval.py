@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions.ordered import ordered_join
-from clausemill.functions.terms import term_counts
 from clausemill.functions.text import strip
 from clausemill.operators import topk
+from clausemill.operators.postings import PostingIndex, bm25_topk, build_index, open_index  # noqa: F401
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 BM25_TOP, STRING_TOP, VECTOR_TOP = 50, 50, 10
 RRF_K = 60
 ARM_PRIORITY = {"vector": 0, "bm25": 1, "string_match": 2}
@@ -17,78 +16,9 @@ PASS_THROUGH_TYPES = ("既往症", "特别约定")
 CHECKED_TYPES = ("理算因子", "等待期", "责任免除")
 NEGATIVE_PHRASE = "不包含"
 NO_ANSWER = "无"
-MAX_BM25_QUERIES = 500
 SCORE_DIGITS = 9
 
 
-def term_table(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, doc_len, terms, tfs)``: the index, one row per chunk, made without a shuffle."""
-    return chunks.select(key, term_counts(F.col(text)).alias("t")).select(key, "t.doc_len", "t.terms", "t.tfs")
-
-
-def store_index(index: DataFrame, path: str) -> DataFrame:
-    """Write a term index once and read it back; every retrieval job scans the stored copy."""
-    index.write.mode("overwrite").parquet(path)
-    return index.sparkSession.read.parquet(path)
-
-
-def document_frequency(index: DataFrame) -> DataFrame:
-    """``(term, df, cf)``; counts combine in the map tasks, so a hot term costs one row per task."""
-    return (
-        index.select(F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-        .groupBy(F.col("t.terms").alias("term"))
-        .agg(F.count("*").alias("df"), F.sum("t.tfs").alias("cf"))
-    )
-
-
-def corpus_totals(index: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    return index.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))
-
-
-def term_weights(index: DataFrame) -> DataFrame:
-    """``(term, idf, mean_len)`` with negative values floored at a quarter of the mean over all terms.
-
-    Corpus totals enter as scalar subqueries.
-    """
-    totals = corpus_totals(index)
-    n = totals.select("n").scalar()
-    raw = document_frequency(index).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean_idf")).scalar()
-    return raw.select(
-        "term",
-        F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw")).alias("idf"),
-        totals.select("mean_len").scalar().alias("mean_len"),
-    )
-
-
-def bm25_topk(
-    index: DataFrame, key: str, queries: DataFrame, query: str, k: int = BM25_TOP, k1: float = K1, b: float = B, **kw
-) -> DataFrame:
-    """``(query_id, key, score, rank)`` by Okapi BM25; chunks without a query term are left out.
-
-    ``index`` comes from :func:`term_table`, best from a stored copy. Document
-    frequencies and weights are joins; the scores of a chunk are made where its
-    index row lies, and only each task's best per query is shuffled.
-    """
-    asked = (
-        term_table(queries, "query_id", query)
-        .select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-        .select("query_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("qtf"))
-    )
-    weight = F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))
-    weighted = (
-        asked.join(term_weights(index), "term")
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(weight)).alias("t"), F.max("mean_len").alias("mean_len"))
-        .select("query_id", F.struct("mean_len", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")).alias("payload"))
-    )
-    rows = index.select(key, F.struct("doc_len", "terms", "tfs").alias("payload"))
-    prepare, scorer = topk.weighted_terms_scorer(k1, b)
-    kw.setdefault("max_queries", MAX_BM25_QUERIES)
-    return topk.score_topk(rows, key, "payload", weighted, "payload", prepare, scorer, k, **kw).withColumnRenamed("key", key)
-
-
 def string_match_topk(chunks: DataFrame, key: str, text: str, queries: DataFrame, query: str, k: int = STRING_TOP, **kw) -> DataFrame:
     """``(query_id, key, score, rank)``: 1 per query character and 3 per character pair found in the text."""
     prepare, scorer = topk.string_match_scorer()

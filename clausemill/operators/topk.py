@@ -197,38 +197,3 @@ def string_match_scorer(char_weight: int = 1, pair_weight: int = 3) -> tuple[Cal
         return np.where(scores > 0, scores, -np.inf)
 
     return prepare, scorer
-
-
-def weighted_terms_scorer(k1: float, b: float) -> tuple[Callable, Scorer]:
-    """BM25 of term-count rows: saturated counts times the query weights of their terms.
-
-    Corpus payload ``(doc_len, terms, tfs)``, query payload ``(mean_len, terms, weights)``.
-    """
-
-    def prepare(queries: pd.DataFrame) -> tuple[dict, np.ndarray, float]:
-        known: dict[str, int] = {}
-        for p in queries["payload"]:
-            for term in p["terms"]:
-                known.setdefault(term, len(known))
-        weights = np.zeros((len(known), len(queries)))
-        for j, p in enumerate(queries["payload"]):
-            weights[[known[t] for t in p["terms"]], j] = p["weights"]
-        mean_len = float(queries["payload"].iloc[0]["mean_len"])
-        return known, weights, mean_len
-
-    def scorer(batch: pd.DataFrame, ready: tuple[dict, np.ndarray, float]) -> np.ndarray:
-        known, weights, mean_len = ready
-        scores = np.full((len(batch), weights.shape[1]), -np.inf)
-        has = weights != 0
-        for i, p in enumerate(batch["payload"]):
-            found = [(known[t], n) for t, n in zip(p["terms"], p["tfs"]) if t in known]
-            if not found:
-                continue
-            at = np.array([a for a, _ in found])
-            tf = np.array([n for _, n in found], dtype=np.float64)
-            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * p["doc_len"] / mean_len))
-            row = np.round(part @ weights[at], 9)
-            scores[i] = np.where(has[at].any(0), row, -np.inf)
-        return scores
-
-    return prepare, scorer

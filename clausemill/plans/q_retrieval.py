@@ -8,16 +8,19 @@ from clausemill.functions.terms import tokenize
 from clausemill.operators import cache as C, retrieval as R
 from clausemill.operators.structure import split_oversize
 from clausemill.plans.fixtures import MD_CHUNKS, MD_DOCS, with_ctes
-from clausemill.plans.scratch import scratch
+from clausemill.plans.scratch import kept
 from clausemill.plans.q_structure import doc_chunks, md_chunks
 from clausemill.plans.registry import query
 from clausemill.session import load
 
 
 def corpus(spark, sf):
-    """Passages: documents cut to windows. ``chunk`` numbers them as document * 1000 + part."""
-    rows = split_oversize(doc_chunks(spark, sf))
-    return rows.select((F.col("doc_id") * 1000 + F.col("split_part")).alias("chunk"), F.col("page_content").alias("text"))
+    """Passages: documents cut to windows, stored once. ``chunk`` numbers them as document * 1000 + part."""
+    def build(folder):
+        rows = split_oversize(doc_chunks(spark, sf))
+        rows.select((F.col("doc_id") * 1000 + F.col("split_part")).alias("chunk"), F.col("page_content").alias("text")).write.parquet(folder)
+
+    return spark.read.schema("chunk long, text string").parquet(kept(spark, "passages", f"{sf}/documents.parquet", build))
 
 
 def phrases(spark, sf):
@@ -25,7 +28,11 @@ def phrases(spark, sf):
 
 
 def term_index(spark, sf):
-    return R.store_index(R.term_table(corpus(spark, sf), "chunk", "text"), scratch(spark, "index") + "/terms")
+    """The inverted index of the passages, stored once."""
+    def build(folder):
+        R.build_index(corpus(spark, sf), "chunk", "text", folder)
+
+    return R.open_index(spark, kept(spark, "index", f"{sf}/documents.parquet", build))
 
 
 _CORPUS = """
@@ -60,10 +67,7 @@ dfs as (select term, count(*) as df, sum(tf)::bigint as cf from tfs group by ter
 )
 def term_stats(spark, sf):
     index = term_index(spark, sf)
-    totals = R.corpus_totals(index).select("n", F.round("mean_len", 6).alias("mean_len"))
-    return R.document_frequency(index).select(
-        "*", totals.select("n").scalar().alias("n"), totals.select("mean_len").scalar().alias("mean_len")
-    )
+    return index.terms.select("term", "df", "cf", F.lit(index.n).cast("long").alias("n"), F.lit(round(index.mean_len, 6)).alias("mean_len"))
 
 
 _BM25 = rf"""

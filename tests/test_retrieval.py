@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions.terms import tokenize
-from clausemill.operators import cache as C, ingest as I, matching as X, retrieval as R
+from clausemill.operators import cache as C, ingest as I, matching as X, postings, retrieval as R
 
 rng = random.Random(3)
 WORDS = [f"w{i}" for i in range(40)] + ["等待期", "既往症", "the"]
@@ -50,10 +50,10 @@ def test_string_match(corpus, asked, max_queries):
         assert found[qid] == [(c, -s) for s, c in _best(scores, 7)]
 
 
-@pytest.mark.parametrize("max_queries", [100, 4])
-def test_bm25(corpus, asked, max_queries):
-    index = R.term_table(corpus, "chunk", "text")
-    found = _found(R.bm25_topk(index, "chunk", asked, "query", 7, max_queries=max_queries, rows_per_slice=30))
+@pytest.mark.parametrize("slice_chunks, query_terms", [(8192, 50_000), (10, 50_000), (3, 8)])
+def test_bm25(corpus, asked, slice_chunks, query_terms, tmp_path):
+    index = R.build_index(corpus, "chunk", "text", str(tmp_path / "index"), slice_chunks)
+    found = _found(R.bm25_topk(index, "chunk", asked, "query", 7, query_terms))
     docs = {c: Counter(t.split()) for c, t in TEXTS}
     n, mean = len(docs), sum(sum(d.values()) for d in docs.values()) / len(docs)
     df = Counter(t for d in docs.values() for t in d)
@@ -87,9 +87,37 @@ def test_vectors(spark, max_queries):
         assert [c for c, _ in found[i]] == want.tolist()
 
 
-def test_fusion_invariants(corpus, asked):
+def test_bm25_skips_slices(spark, tmp_path):
+    """With rare terms in few chunks, slices that can't reach a query's bar are left out and nothing is lost."""
+    gen = random.Random(8)
+    texts = [(i, " ".join([f"c{gen.randrange(30)}" for _ in range(gen.choice([5, 20, 80]))] + [f"rare{i % 50}"] * (i % 3 == 0))) for i in range(900)]
+    asked = spark.createDataFrame([(q, f"c{q} c{q + 1} rare{q}") for q in range(20)], "query_id long, query string")
+    index = R.build_index(spark.createDataFrame(texts, "chunk long, text string"), "chunk", "text", str(tmp_path / "many"), 20)
+    whole = R.build_index(spark.createDataFrame(texts, "chunk long, text string"), "chunk", "text", str(tmp_path / "one"), 10**6)
+    assert _found(R.bm25_topk(index, "chunk", asked, "query", 5)) == _found(R.bm25_topk(whole, "chunk", asked, "query", 5))
+    rows = postings.asked_terms(index, asked, "query")
+    block, terms = postings._Asked.of(rows.orderBy("query_id", "term").toPandas())
+    codes = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, code long")
+    mine = index.postings.join(codes, "term")
+    bars = postings.bar_rows(rows, mine, block, 5)
+    assert len(bars) == 20
+    bounds = mine.join(rows, "term").groupBy("query_id", "slice").agg(F.sum(F.col("w") * F.col("top")).alias("bound")).collect()
+    assert sum(r.bound < bars[r.query_id] for r in bounds) > len(bounds) / 4
+
+
+def test_index_counts_every_chunk(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "b ..."), (5, "x " * 70_000)], "chunk long, text string")
+    index = R.build_index(chunks, "chunk", "text", str(tmp_path / "index"), 1)
+    assert (index.n, index.mean_len) == (5, 70_004 / 5)
+    assert {(r.term, r.df, r.cf) for r in index.terms.collect()} == {("a", 1, 2), ("b", 2, 2), ("x", 1, 70_000)}
+    empty = R.build_index(chunks.limit(0), "chunk", "text", str(tmp_path / "empty"))
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert empty.n == 0 and R.bm25_topk(empty, "chunk", asked, "query").collect() == []
+
+
+def test_fusion_invariants(corpus, asked, tmp_path):
     arms = R.hits(R.string_match_topk(corpus, "chunk", "text", asked, "query", 20), "chunk", "string_match").unionByName(
-        R.hits(R.bm25_topk(R.term_table(corpus, "chunk", "text"), "chunk", asked, "query", 20), "chunk", "bm25")
+        R.hits(R.bm25_topk(R.build_index(corpus, "chunk", "text", str(tmp_path / "index")), "chunk", asked, "query", 20), "chunk", "bm25")
     )
     rows = R.fuse_priority(arms).collect()
     assert len({(r.query_id, r.chunk) for r in rows}) == len(rows)
@@ -138,10 +166,10 @@ def test_large_policy_signature(spark):
     assert [tuple(r) for r in I.unsigned_policies(df, "p", "e").collect()] == [("bare", 2)]
 
 
-def test_no_work_for_topk(spark):
+def test_no_work_for_topk(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0]), (2, "保险责任", [0.0, 1.0])], "chunk long, text string, v array<double>")
     none = spark.createDataFrame([], "query_id long, q string, v array<double>")
-    index = R.term_table(chunks, "chunk", "text")
+    index = R.build_index(chunks, "chunk", "text", str(tmp_path / "index"))
     assert R.bm25_topk(index, "chunk", none, "q").collect() == []
     assert R.string_match_topk(chunks, "chunk", "text", none, "q").collect() == []
     assert R.vector_topk(chunks, "chunk", "v", none, "v").collect() == []
@@ -149,12 +177,9 @@ def test_no_work_for_topk(spark):
     odd = spark.createDataFrame([(1, ""), (2, None), (3, "zzz")], "query_id long, q string")
     assert R.bm25_topk(index, "chunk", odd, "q").collect() == []
     assert R.string_match_topk(chunks, "chunk", "text", odd.filter("query_id < 3"), "q").collect() == []
-    assert R.bm25_topk(index, "chunk", odd, "q", max_queries=1).collect() == []
+    assert R.bm25_topk(index, "chunk", odd, "q", query_terms=1).collect() == []
 
 
-def test_tokens_agree(spark):
-    texts = [(t,) for _, t in TEXTS[:20]] + [("保险abc责任免除x1 日本語 éà_ß 12",)]
-    df = spark.createDataFrame(texts, "t string")
-    rows = df.select(tokenize(F.col("t")).alias("a"), "t").withColumn("k", F.monotonically_increasing_id())
-    counted = {r.k: Counter(dict(zip(r.terms, r.tfs))) for r in R.term_table(rows, "k", "t").collect()}
-    assert all(Counter(r.a) == counted[r.k] for r in rows.collect())
+def test_tokens(spark):
+    df = spark.createDataFrame([("保险abc责任免除x1 日本語 éà_ß 12",)], "t string")
+    assert df.select(tokenize(F.col("t"))).first()[0] == ["保", "险", "abc", "责任免除", "x1", "日", "本", "語", "éà", "ß", "12"]
