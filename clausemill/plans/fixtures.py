@@ -130,7 +130,7 @@ boxes as (select l_partkey as page, row_number() over (partition by l_partkey or
 _I = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
 _AA, _AB = "(a.x1 - a.x0) * (a.y1 - a.y0)", "(b.x1 - b.x0) * (b.y1 - b.y0)"
 PAIRS = f"""
-prs as (select a.page, a.box_id as a, b.box_id as b, {_I} as inter, {_I} / ({_AA} + {_AB} - {_I}) as iou, {_I} / least({_AA}, {_AB}) as osmall, {_I} / ({_AA}) as ofirst, {_AA} as aa, {_AB} as ab,
+prs as materialized (select a.page, a.box_id as a, b.box_id as b, {_I} as inter, {_I} / ({_AA} + {_AB} - {_I}) as iou, {_I} / least({_AA}, {_AB}) as osmall, {_I} / ({_AA}) as ofirst, {_AA} as aa, {_AB} as ab,
    a.score as sa, b.score as sb, a.category_id as ca, b.category_id as cb, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1
   from boxes a join boxes b on a.page = b.page and a.box_id <> b.box_id and greatest(a.x0, b.x0) <= least(a.x1, b.x1) and greatest(a.y0, b.y0) <= least(a.y1, b.y1))
 """

@@ -13,6 +13,13 @@ _ALL = "page, box_id, x0, y0, x1, y1"
 _COLS = ["page", "box_id", "x0", "y0", "x1", "y1"]
 
 
+def _without(found: str, among: str = "true", keep: str = "not exists") -> tuple[str, str]:
+    """SQL of the boxes ``among`` all that aren't ``found (page, id)``."""
+    gone = f"gone as materialized (select distinct page, id from ({found}))"
+    return gone, f"select {_ALL} from boxes where {among} and {keep} (select 1 from gone where gone.page = boxes.page and gone.id = boxes.box_id)"
+
+
+
 def _next(spark, sf):
     w = Window.partitionBy("page").orderBy("box_id")
     rows = boxes(spark, sf)
@@ -81,7 +88,7 @@ def low(spark, sf):
     return kept.join(text, ["page", "box_id"], "left").select("page", "box_id", F.coalesce("is_text", F.lit(0)).alias("is_text"))
 
 
-@query("l05_suppress_duplicates", with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where (page, box_id) not in (select (page, a) from prs where iou > 0.9 and (sb > sa or (sb = sa and b < a)))"))
+@query("l05_suppress_duplicates", with_ctes(BOXES, PAIRS, *_without("select page, a as id from prs where iou > 0.9 and (sb > sa or (sb = sa and b < a))")))
 def suppressed(spark, sf):
     return L.suppress_duplicates(boxes(spark, sf), "page").select(*_COLS)
 
@@ -89,14 +96,14 @@ def suppressed(spark, sf):
 _INSIDE = "ax0 >= bx0 and ay0 >= by0 and ax1 <= bx1 and ay1 <= by1"
 
 
-@query("l06_drop_contained", with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where (page, box_id) not in (select (page, a) from prs where {_INSIDE})"))
+@query("l06_drop_contained", with_ctes(BOXES, PAIRS, *_without(f"select page, a as id from prs where {_INSIDE}")))
 def contained(spark, sf):
     return L.drop_contained(boxes(spark, sf), "page").select(*_COLS)
 
 
 @query(
     "l06_drop_contained_keep_equal",
-    with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where (page, box_id) not in (select (page, a) from prs where {_INSIDE} and (aa < ab or b < a))"),
+    with_ctes(BOXES, PAIRS, *_without(f"select page, a as id from prs where {_INSIDE} and (aa < ab or b < a)")),
 )
 def contained_equal(spark, sf):
     return L.drop_contained(boxes(spark, sf), "page", keep_equal=True).select(*_COLS)
@@ -132,8 +139,8 @@ _INNER = "inn as (select * from prs where ofirst >= 0.8 and aa < ab)"
     "l09_drop_container_tables",
     with_ctes(BOXES, PAIRS, _INNER, """
 filled as (select page, b from inn group by page, b having count(*) >= 2 and sum(aa) > max(ab) * 0.5)""", """
-clash as (select distinct i.page, i.b from inn i join inn j on j.page = i.page and j.b = i.b and i.a < j.a join prs p on p.page = i.page and p.a = i.a and p.b = j.a and p.inter > 0)""", f"""
-select {_ALL} from boxes where (page, box_id) not in (select (page, b) from filled where (page, b) not in (select (page, b) from clash))"""),
+clash as materialized (select distinct i.page, i.b from inn i join inn j on j.page = i.page and j.b = i.b and i.a < j.a join prs p on p.page = i.page and p.a = i.a and p.b = j.a and p.inter > 0)""",
+        *_without("select page, b as id from filled f where not exists (select 1 from clash c where c.page = f.page and c.b = f.b)")),
 )
 def containers(spark, sf):
     return L.drop_container_tables(boxes(spark, sf), "page", 2, 0.5).select(*_COLS)
@@ -155,12 +162,12 @@ def cat(spark, sf, *ids):
     return boxes(spark, sf).filter(F.col("category_id").isin(*ids))
 
 
-@query("l11_prefer", with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where category_id in (1, 3) and (page, box_id) not in (select (page, a) from prs where cb in (2, 5) and iou > 0.5)"))
+@query("l11_prefer", with_ctes(BOXES, PAIRS, *_without("select page, a as id from prs where cb in (2, 5) and iou > 0.5", "category_id in (1, 3)")))
 def preferred(spark, sf):
     return L.prefer(cat(spark, sf, 2, 5), cat(spark, sf, 1, 3), "page", 0.5).select(*_COLS)
 
 
-@query("l12_drop_under_discarded", with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where category_id <> 6 and (page, box_id) not in (select (page, a) from prs where cb = 6 and ofirst > 0.6)"))
+@query("l12_drop_under_discarded", with_ctes(BOXES, PAIRS, *_without("select page, a as id from prs where cb = 6 and ofirst > 0.6", "category_id <> 6")))
 def under(spark, sf):
     return L.drop_under(boxes(spark, sf).filter("category_id <> 6"), cat(spark, sf, 6), "page").select(*_COLS)
 
@@ -188,7 +195,7 @@ def routed(spark, sf):
 
 @query(
     "l16_spans_in_scope",
-    with_ctes(BOXES, PAIRS, f"select {_ALL} from boxes where category_id in (2, 5) and (page, box_id) in (select (page, a) from prs where (cb = 6 and ofirst > 0.4) or (cb in (1, 3) and ofirst > 0.5))"),
+    with_ctes(BOXES, PAIRS, *_without("select page, a as id from prs where (cb = 6 and ofirst > 0.4) or (cb in (1, 3) and ofirst > 0.5)", "category_id in (2, 5)", "exists")),
 )
 def scoped(spark, sf):
     return L.spans_in_scope(cat(spark, sf, 2, 5), cat(spark, sf, 6), cat(spark, sf, 1, 3), "page").select(*_COLS)
