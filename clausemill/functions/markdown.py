@@ -258,17 +258,6 @@ def structure_path(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda p: strip_index_mark(p["title"])), "/")
 
 
-def path_prefixes(path: Column) -> Column:
-    """All proper prefixes of a structure path, shortest first."""
-    return let(
-        F.split(path, "/", -1),
-        lambda parts: F.when(
-            F.size(parts) > 1,
-            F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/")),
-        ).otherwise(F.expr("cast(array() as array<string>)")),
-    )
-
-
 def windows(text: Column, size: int = 6000, overlap: int = 200) -> Column:
     """Fixed windows of an oversize text; a text within ``size`` is one window."""
     step = size - overlap

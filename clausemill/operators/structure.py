@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from clausemill.functions import markdown as M
 from clausemill.functions.ordered import ordered_join
@@ -184,20 +184,30 @@ def rebuild_text(chunk_rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def descendants(chunk_rows: DataFrame, key: str) -> DataFrame:
-    """``(key, ancestor_index, descendant_index)`` over structure paths.
+def descendants(chunk_rows: DataFrame, key: str, asked: DataFrame | None = None) -> DataFrame:
+    """``(key, ancestor_index, descendant_index)`` below the asked ``(key, original_index)``, or below every chunk.
 
-    Each chunk's path prefixes are exploded once, so the prefix test is a hash join
-    on ``(key, path)`` and never a nested loop.
+    In the order of the paths, what lies below a path follows it without a gap: from the path and a
+    slash up to the path and the character after the slash. One ordered pass over a document's paths
+    and the asked bounds numbers both, so a subtree is an interval of numbers, and only the numbers
+    in asked intervals are joined with chunks.
     """
-    nodes = chunk_rows.select(key, "original_index", "structure_path").distinct()
-    below = nodes.select(
-        key,
-        F.col("original_index").alias("descendant_index"),
-        F.explode(M.path_prefixes(F.col("structure_path"))).alias("structure_path"),
+    nodes = chunk_rows.select(key, "original_index", F.col("structure_path").alias("_at")).distinct()
+    above = nodes.filter(F.col("_at") != "")
+    if asked is not None:
+        above = above.join(asked.select(key, "original_index").distinct(), [key, "original_index"], "left_semi")
+    bounds = above.select(key, "original_index", F.explode(F.array(*[F.concat("_at", F.lit(c)) for c in ("/", "0")])).alias("_at"))
+    places = nodes.select(key, "original_index", "_at", F.lit(1).alias("_node")).unionByName(bounds.withColumn("_node", F.lit(0)))
+    # A path that equals a bound comes after it: it is below the lower one and beyond the upper one.
+    in_order = Window.partitionBy(key).orderBy("_at", "_node").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = places.withColumn("_n", F.sum("_node").over(in_order))
+    below = (
+        numbered.filter("_node = 0").groupBy(key, F.col("original_index").alias("ancestor_index"))
+        .agg(F.min("_n").alias("_first"), F.max("_n").alias("_last")).filter("_last > _first")
+        .select(key, "ancestor_index", F.explode(F.sequence(F.col("_first") + 1, "_last")).alias("_n"))
     )
-    above = nodes.filter(F.col("structure_path") != "").withColumnRenamed("original_index", "ancestor_index")
-    return below.join(above, [key, "structure_path"]).select(key, "ancestor_index", "descendant_index")
+    named = numbered.filter("_node = 1").select(key, "_n", F.col("original_index").alias("descendant_index"))
+    return below.join(named, [key, "_n"]).select(key, "ancestor_index", "descendant_index")
 
 
 def fetch_by_index(chunk_rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -208,7 +218,7 @@ def fetch_by_index(chunk_rows: DataFrame, wanted: DataFrame, key: str) -> DataFr
     """
     asked = wanted.select(key, F.col("original_index").alias("parent_index"), "pos")
     owned = (
-        descendants(chunk_rows, key)
+        descendants(chunk_rows, key, wanted)
         .withColumnRenamed("ancestor_index", "parent_index")
         .join(asked, [key, "parent_index"])
         .join(

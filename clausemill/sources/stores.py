@@ -15,10 +15,10 @@ def load_code_table(rows: DataFrame, category: str | None = None) -> DataFrame:
     return live.select("code_category", F.col("key_code").cast("string").alias("key_code"), "key_name")
 
 
-def latest_containing(stored: DataFrame, needles: DataFrame, needle: str, **kw) -> DataFrame:
+def latest_containing(stored: DataFrame, needles: DataFrame, needle: str) -> DataFrame:
     """For each needle the stored row ``(id, body)`` of highest id whose body contains it."""
     return (
-        contains_pairs(stored.select("id", "body"), "body", needles, needle, **kw)
+        contains_pairs(stored.select("id", "body"), "id", "body", needles, needle)
         .groupBy(needle)
         .agg(F.max_by("body", "id").alias("body"), F.max("id").alias("id"))
     )

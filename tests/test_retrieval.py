@@ -142,12 +142,28 @@ def test_cache_replay(spark, chunk_ttls):
     assert Counter((r.key, r.ts, r.hit) for r in got) == Counter(want)
 
 
-@pytest.mark.parametrize("limit", [500, 2])
-def test_contains_pairs(spark, limit):
-    texts = spark.createDataFrame(TEXTS, "id long, body string")
-    needles = ["w1", "w12", "the", "w3 w", "absent", "等待期"]
-    found = X.contains_pairs(texts, "body", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle", limit)
-    assert {(r.id, r.needle) for r in found.collect()} == {(i, n) for i, t in TEXTS for n in needles if n in t}
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_contains_pairs(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(X, "BROADCAST_NEEDLES", broadcast)
+    rows = TEXTS + [(500, None), (501, ""), (502, "w1"), (503, "𝒳𝒴 aaaaaaaaaaaa"), (503, "a second row of the key"), (None, "w1 no key")]
+    texts = spark.createDataFrame(rows, "id long, body string")
+    needles = ["w1", "w12", "the", "w3 w", "absent", "等待期", "w1 w", "", "w1", "𝒴 a", "𝒳", "aaaaaaaaa", "second row of", "w", None]
+    found = X.contains_pairs(texts, "id", "body", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle")
+    want = [(i, t, n) for i, t in rows for n in set(needles) if i is not None and t and n and n in t]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    none = spark.createDataFrame([("",)], "needle string")
+    assert X.contains_pairs(texts, "id", "body", none, "needle").collect() == []
+
+
+def test_a_hundred_thousand_needles(spark):
+    """Numbered keys, all with the same beginning and end: the anchor is the part where they differ."""
+    needles = spark.range(100_000).select(F.format_string("policy-%06d-key", "id").alias("needle"))
+    texts = spark.range(3_000).select("id", F.format_string("{before policy-%06d-key, policy-%06d-key after}", F.col("id") * 7, F.col("id") * 40 + 1).alias("body"))
+    found = X.contains_pairs(texts, "id", "body", needles, "needle")
+    want = {(i, n) for i in range(3_000) for n in (7 * i, 40 * i + 1) if n < 100_000}
+    got = [(r.id, int(r.needle[7:13])) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert X.anchors(needles, "needle").groupBy("_anchor").count().agg(F.max("count")).first()[0] <= 100
 
 
 def test_large_policy_signature(spark):

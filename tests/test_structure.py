@@ -139,3 +139,18 @@ def test_text_that_touches_a_cell_has_none(spark):
     texts = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 1.0), (1, 2, 20.0, 0.0, 30.0, 10.0, 1.0)], box)
     cells = spark.createDataFrame([(1, 7, 10.0, 0.0, 20.0, 10.0, 1.0), (1, 8, 22.0, 0.0, 40.0, 10.0, 1.0)], box)
     assert [tuple(r) for r in L.match_text_to_cells(texts, cells, "page").collect()] == [(1, 2, 8)]
+
+
+def test_subtrees_of_odd_paths(spark):
+    """Equal paths, missing ancestors, and titles with slashes, digits and nothing in them."""
+    rng = random.Random(7)
+    paths = ["", "a", "a", "a/", "a/b", "a0", "a/0", "a/b/c/d", "ab", "a//x", "b/c/d", "b", "/", "/a", "等待/期", "等待", "等", "a/b0", "a/b/0"]
+    paths += ["/".join(rng.choice(["a", "b", "0", "", "a0", "-", "é"]) for _ in range(rng.randrange(1, 5))) for _ in range(120)]
+    rows = [(d, i, 0, p) for d in (1, 2) for i, p in enumerate(paths) if (i + d) % 5] + [(1, 1, 1, "a")]
+    chunks = spark.createDataFrame(rows, "doc long, original_index int, split_part int, structure_path string")
+    want = {(d, i, j) for d, i, _, p in rows for e, j, _, c in rows if d == e and p != "" and c.startswith(p + "/")}
+    got = [tuple(r) for r in S.descendants(chunks, "doc").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    asked = spark.createDataFrame([(1, 4), (1, 4), (2, 1), (2, 999)], "doc long, original_index int")
+    assert {tuple(r) for r in S.descendants(chunks, "doc", asked).collect()} == {w for w in want if w[:2] in {(1, 4), (2, 1)}}
+    assert S.descendants(chunks, "doc", asked.limit(0)).count() == 0
