@@ -51,7 +51,8 @@ def flatten(spark, sf):
 
 _TOTALS = """
 customers as (select r_name as plan, n_name as clause, c_custkey, c_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey),
-results as (select o_custkey as c_custkey, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as scopes from orders where o_orderstatus = 'P' and o_totalprice > 300000 group by o_custkey)
+items as (select plan, clause, c_custkey from customers union all select r_name, n_name, -s_suppkey from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey),
+results as (select o_custkey as c_custkey, 1 as done, case when count(*) filter (where o_orderstatus = 'P') > 0 then string_agg(distinct o_orderpriority, ',' order by o_orderpriority) end as scopes from orders group by o_custkey)
 """
 
 
@@ -67,13 +68,20 @@ def customers(spark, sf):
 
 @query(
     "h02_attach_results",
-    with_ctes(_TOTALS, "select plan, clause, c_custkey, coalesce(scopes, '') as scopes, case when scopes is null then 1 else 0 end as missing from customers left join results using (c_custkey)"),
+    with_ctes(_TOTALS, "select plan, clause, c_custkey, coalesce(scopes, '') as scopes, case when done is null then 1 else 0 end as missing from items left join results using (c_custkey)"),
 )
 def attach(spark, sf):
-    results = (
-        load(spark, sf, "orders").filter("o_orderstatus = 'P' and o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("scopes"))
+    # Work on a customer without a pending order has failed: its result has no scopes. For suppliers no work was done.
+    pending = F.max(F.col("o_orderstatus") == "P")
+    results = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.when(pending, F.sort_array(F.collect_set("o_orderpriority"))).alias("scopes")
     )
-    items = customers(spark, sf)
+    nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
+    suppliers = (
+        load(spark, sf, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+        .select(F.col("r_name").alias("plan"), F.col("n_name").alias("clause"), (-F.col("s_suppkey")).alias("c_custkey"))
+    )
+    items = customers(spark, sf).select("plan", "clause", "c_custkey").unionByName(suppliers)
     attached = H.attach_results(items, results, ["c_custkey"], "scopes")
     absent = H.missing_results(items, results, ["c_custkey"]).select("c_custkey", F.lit(1).alias("missing"))
     return attached.join(absent, "c_custkey", "left").select(

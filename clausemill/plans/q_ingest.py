@@ -202,7 +202,7 @@ def links(spark, sf):
 @query(
     "i04_expand_one_hop",
     with_ctes(_LINKS, """
-store as (select '/' || split_part(text, ' ', 1) as url, arg_min(text, doc_id) as content from documents group by 1)""", """
+store as (select '/' || split_part(text, ' ', 1) as url, text as content from documents)""", """
 joined as (select url, html as content, page_id as ord, '01' as file_class, 0 as source_rank from pages union all
   select s.url, s.content, w.ord, '附件下载', 1 from store s join (select link, min(page_id) as ord from links where contains(link, 'e') group by link) w on w.link = s.url)""", """
 select url, ord, file_class, source_rank, md5(content) as content_md5 from joined qualify row_number() over (partition by md5(content) order by source_rank, ord, url) = 1"""),
@@ -210,11 +210,9 @@ select url, ord, file_class, source_rank, md5(content) as content_md5 from joine
 def one_hop(spark, sf):
     pages = load(spark, sf, "pages")
     found = I.extract_links(pages, "page_id", "html", "e").withColumnRenamed("page_id", "ord")
-    store = (
-        load(spark, sf, "documents")
-        .withColumn("url", F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(1))))
-        .groupBy("url")
-        .agg(F.min_by("text", "doc_id").alias("content"))
+    # All documents that begin with a word are stored under its url.
+    store = load(spark, sf, "documents").select(
+        F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(1))).alias("url"), F.col("text").alias("content")
     )
     listed = pages.select("url", F.col("html").alias("content"), F.col("page_id").alias("ord"), F.lit("01").alias("file_class"))
     return I.expand_one_hop(listed, found, store).select("url", "ord", "file_class", "source_rank", "content_md5")
@@ -339,17 +337,20 @@ def typed_texts(spark, sf):
 
 
 _PAGES = """
-turn_pages as (select conv_id, turn, case when conv_id % 5 = 0 then text[:30] when conv_id % 7 = 0 then repeat('(cid:12)', turn::int + 40) || text else text end as text, case when conv_id % 11 = 0 then 0.9 else 0.1 end as cover from conversations)
+turn_pages as (select conv_id, turn, case when conv_id % 7 = 0 then repeat('(cid:12)', turn::int + 40) || text else text end as text, case when conv_id % 11 = 0 then 0.9 else 0.1 end as cover from conversations
+  union all select conv_id, turn, ' ' || chr(10), 0.0 from conversations, range(20) where conv_id % 5 = 0)
 """
 
 
 def _turn_pages(spark, sf):
-    text = (
-        F.when(F.col("conv_id") % 5 == 0, F.substring("text", 1, 30))
-        .when(F.col("conv_id") % 7 == 0, F.concat(F.repeat(F.lit("(cid:12)"), (F.col("turn") + 40).cast("int")), "text"))
-        .otherwise(F.col("text"))
+    """Whole texts as pages; every fifth conversation has twenty blank pages after each, every seventh undecodable characters."""
+    turns = load(spark, sf, "conversations")
+    text = F.when(F.col("conv_id") % 7 == 0, F.concat(F.repeat(F.lit("(cid:12)"), (F.col("turn") + 40).cast("int")), "text")).otherwise(F.col("text"))
+    told = turns.select("conv_id", "turn", text.alias("text"), F.when(F.col("conv_id") % 11 == 0, 0.9).otherwise(0.1).alias("cover"))
+    blank = turns.filter("conv_id % 5 = 0").select(
+        "conv_id", "turn", F.explode(F.array_repeat(F.lit(" \n"), 20)).alias("text"), F.lit(0.0).alias("cover")
     )
-    return load(spark, sf, "conversations").select("conv_id", "turn", text.alias("text"), F.when(F.col("conv_id") % 11 == 0, 0.9).otherwise(0.1).alias("cover"))
+    return told.unionByName(blank)
 
 
 @query(
