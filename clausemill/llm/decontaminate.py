@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clausemill.functions.binding import let
-from clausemill.llm.common import small_side, stored, text_of
+from clausemill.llm.common import free_name, small_side, stored, text_of
 
 # Fixed masks: 1 is a word that must match, 0 one that may differ.
 MASKS = ("1101011", "11100101")
@@ -69,14 +69,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is held if on one diagonal at least ``MIN_SHARE`` of its words are equal, or a
     stretch with four matches of five has ``SEGMENT`` equal words. Items with equal words count once,
-    under their smallest id (null is smallest); items of fewer words than the longest mask are too
-    short to tell and find nothing. Null texts have no words. Empty tables give no rows.
+    under their smallest id (null is smallest). Items of fewer words than the longest mask are held
+    where they stand word for word; items without words nowhere. Null texts have no words. Empty
+    tables give no rows.
     """
     items = benchmark.select(F.col("item_id"), words(text_of()).alias("item"))
     items = items.groupBy("item").agg(F.min(F.struct("item_id")).alias("id")).select(
         F.col("id.item_id").alias("item_id"), "item", F.array_join("item", " ").alias("item_text")
-    ).withColumn("item_key", F.md5("item_text")).filter(F.size("item") >= SPAN)
+    ).withColumn("item_key", F.md5("item_text")).filter(F.size("item") > 0)
     items = stored(items, "items")
+    short, items = items.filter(F.size("item") < SPAN), items.filter(F.size("item") >= SPAN)
     test = seeds(items, ["item_key"], "item_text").select("seed", "item_key", F.col("pos").alias("item_pos"))
     train = seeds(docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text")), ["text_key"], "text")
     hits = train.join(small_side(test.distinct()), "seed").select(
@@ -96,9 +98,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.greatest(best["matched"], o["matched"]).alias("matched"), F.greatest(best["segment"], o["segment"]).alias("segment"),
         )),
     ))))
-    return checked.select(
+    long_ones = checked.select(
         "text_key", "item_id", F.size("item").alias("item_words"), "o.matched", "o.segment"
     ).filter((F.col("matched") >= MIN_SHARE * F.col("item_words")) | (F.col("segment") >= SEGMENT))
+    return long_ones.unionByName(_verbatim(docs, short))
+
+
+def _verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Texts that hold all words of a short item in a row: their runs of that many words meet the items by equality."""
+    sizes = sorted(r[0] for r in items.select(F.size("item").alias("n")).distinct().collect())  # fewer than SPAN
+    texts = docs.select(F.md5(text_of()).alias("text_key"), words(text_of()).alias("document"))
+
+    def runs(n: int):
+        every = F.transform(F.sequence(F.lit(1), F.size("document") - n + 1), lambda i: F.array_join(F.slice("document", i, n), " "))
+        return F.when(F.size("document") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    run = F.explode(F.array_distinct(F.flatten(F.array(*(runs(n) for n in sizes))))) if sizes else F.lit(None).cast("string")
+    texts = texts.select("text_key", run.alias("item_text")) if sizes else texts.select("text_key", run.alias("item_text")).limit(0)
+    n = F.size("item").alias("item_words")
+    return texts.distinct().join(small_side(items.select("item_text", "item_id", "item")), "item_text").select(
+        "text_key", "item_id", n, F.size("item").alias("matched"), F.size("item").alias("segment")
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -109,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark).select(F.col("text_key")).distinct()
-    key = F.md5(text_of())
-    return docs.join(small_side(found), key == F.col("text_key"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, whatever their names."""
+    name = free_name(docs, "text_key")
+    found = contaminated(docs, benchmark).select(F.col("text_key").alias(name)).distinct()
+    return docs.join(small_side(found), F.md5(text_of()) == F.col(name), "left_anti")

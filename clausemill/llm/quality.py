@@ -142,7 +142,7 @@ def prior(hosts: int, n: int, failed: int, square: float) -> tuple[float, float]
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """``docs`` with a struct column (named by :func:`verdict_column`) of counts, base_failed, host_rate and kept.
 
-    Each row is judged for itself, so repeated rows, null ids and extra columns need no care.
+    Each row is judged for itself, so repeated rows, null ids and extra columns of any name need no care.
     The counts are made twice, once for the hosts and once for the rows, which costs less
     than moving texts. No rows give no rows.
     """
@@ -151,16 +151,15 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), host: str = "source")
     c = F.col(name)
     judged = docs.select(F.col(host).cast("string").alias("host"), counts().alias(name))
     verdicts = host_verdicts(judged.select("host", base_failed(c, rules).alias("failed")), rules)
-    side = verdicts.select(
-        F.struct("host").alias(f"{name}_host"), F.col("rate").alias(f"{name}_rate"), F.col("kept").alias(f"{name}_kept")
-    )
+    on, rate, fine = (free_name(docs, f"{name}_{part}") for part in ("host", "rate", "kept"))
+    side = verdicts.select(F.struct("host").alias(on), F.col("rate").alias(rate), F.col("kept").alias(fine))
     rows = docs.withColumn(name, counts())
-    joined = rows.join(small_side(side), F.struct(F.col(host).cast("string").alias("host")) == F.col(f"{name}_host"), "left")
+    joined = rows.join(small_side(side), F.struct(F.col(host).cast("string").alias("host")) == F.col(on), "left")
     failed = base_failed(c, rules)
     verdict = F.struct(
         *(c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        failed.alias("base_failed"), F.col(f"{name}_rate").alias("host_rate"),
-        (~failed & F.col(f"{name}_kept")).alias("kept"),
+        failed.alias("base_failed"), F.col(rate).alias("host_rate"),
+        (~failed & F.col(fine)).alias("kept"),
     )
     return joined.withColumn(name, verdict).select(*docs.columns, name)
 

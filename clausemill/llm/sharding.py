@@ -86,21 +86,33 @@ def shards(docs: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, max_bytes: int, folder: str) -> None:
-    """Write the columns of ``docs`` as Parquet, one folder ``shard_name=...`` per shard (the root's is ``root``)."""
+    """Write the columns of ``docs`` as Parquet, one folder ``shard_name=...`` per shard (the root's is ``root``).
+
+    If ``docs`` has a column of that name, the folders' name has underscores before it.
+    """
+    name = _folder_column(docs.columns)
     rows = docs.select(F.struct(*docs.columns).alias("row"), _n_bytes().alias("n_bytes"), _bits().alias("bits"))
     table = cut_lineage(directory(rows, max_bytes)).select("shard", "depth")
     named = _in_shard(rows, table).select(
-        "row.*", F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias("shard_name")
+        "row.*", F.when(F.col("shard") == "", "root").otherwise(F.col("shard")).alias(name)
     )
-    named.repartition("shard_name").write.partitionBy("shard_name").parquet(folder)
+    named.repartition(name).write.partitionBy(name).parquet(folder)
+
+
+def _folder_column(columns: list[str]) -> str:
+    name, taken = "shard_name", {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def read_shards(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
     """``(doc_id, n_bytes, shard, depth, shard_bytes)`` of the rows that :func:`write_shards` wrote with columns of ``schema``."""
     # Named as a string, or a prefix such as 0101 would be read as a number.
-    rows = spark.read.schema(StructType([*schema.fields, StructField("shard_name", StringType())])).parquet(folder).select(
+    name = _folder_column(schema.names)
+    rows = spark.read.schema(StructType([*schema.fields, StructField(name, StringType())])).parquet(folder).select(
         F.col("doc_id").cast("long").alias("doc_id"), _n_bytes().alias("n_bytes"),
-        F.when(F.col("shard_name") == "root", "").otherwise(F.col("shard_name")).alias("shard"),
+        F.when(F.col(name) == "root", "").otherwise(F.col(name)).alias("shard"),
     )
     totals = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
     return rows.join(small_side(cut_lineage(totals)), "shard").select(

@@ -85,7 +85,7 @@ def held(text, item):
 
 def is_leak(text, item):
     (matched, segment), n = held(text, item)
-    return n >= 8 and (matched >= 0.8 * n or segment >= 13)
+    return 0 < n == matched if n < 8 else matched >= 0.8 * n or segment >= 13
 
 
 def repeated_bytes(texts, length=200):
