@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions.coding_base import literal_map
+from clausemill.session import cut_lineage
 
 SECOND = 1_000_000
 # Prices per 1000 tokens, looked up by exact name, then by first contained name.
@@ -54,12 +55,42 @@ def call_cost(log: DataFrame, model: str, prices: dict = PRICES, default: tuple
     return log.withColumns({"input_cost": asked, "output_cost": told, "total_cost": asked + told})
 
 
-def latency_report(log: DataFrame, model: str, latency: str, slow: float = 120.0, accuracy: int = 10_000) -> DataFrame:
-    """Slow calls and quantiles per model; the quantile sketch merges in the map tasks."""
-    q = F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95)), F.lit(accuracy))
-    return log.groupBy(model).agg(
-        F.count("*").alias("n"), F.sum((F.col(latency) > slow).cast("int")).alias("n_slow"), q.alias("_q")
-    ).select(model, "n", "n_slow", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"))
+def exact_quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 128) -> DataFrame:
+    """``(group, <name>..)``: for each share the smallest value that at least that part of the group's values don't exceed.
+
+    Each round cuts the values between the bounds of every asked rank at a sketch's quantiles, counts
+    the bins, keeps the one of the rank, and takes the least and greatest value there as new bounds,
+    until they are equal. The sketch only places the cuts; the lower bound is a cut of its own, so
+    every round narrows. A task sends on only its sketch and its counts. Null values and NaN are left
+    out; a group without others has nulls.
+    """
+    values = rows.select(F.struct(F.col(group).alias("g")).alias("_group"), F.col(value).cast("double").alias("_v"))
+    known = values.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    key, n = ["_group", "_name"], F.col("_n")
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in shares.items()])).alias("_s")
+    bounds = F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    rank = F.greatest(F.lit(1).cast("long"), n - F.floor(n - F.col("_s.p") * n))
+    asked = known.groupBy("_group").agg(*bounds).select("*", names).select("_group", F.col("_s.name").alias("_name"), rank.alias("_rank"), "_lo", "_hi")
+    asked = cut_lineage(asked)
+    grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    while not asked.filter("_lo < _hi").isEmpty():
+        met = known.join(asked.filter("_lo < _hi"), "_group").filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cuts = met.groupBy(*key).agg(F.array_append(F.percentile_approx("_v", grid, F.lit(8 * bins)), F.min("_lo")).alias("_cuts"))
+        place = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))
+        counted = met.join(cuts, key).groupBy(*key, "_rank", place.alias("_bin")).agg(*bounds)
+        upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+        found = counted.withColumn("_upto", upto).filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - n))
+        closer = found.select(*key, (F.col("_rank") - F.col("_upto") + n).alias("_rank"), "_lo", "_hi")
+        asked = cut_lineage(asked.filter("_lo >= _hi").unionByName(closer))
+    wide = asked.groupBy("_group").agg(*[F.max(F.when(F.col("_name") == k, F.col("_lo"))).alias(k) for k in shares])
+    return values.select("_group").distinct().join(wide, "_group", "left").select(F.col("_group.g").alias(group), *shares)
+
+
+def latency_report(log: DataFrame, model: str, latency: str, slow: float = 120.0) -> DataFrame:
+    """Calls, slow calls, and exact quantiles per model."""
+    counted = log.groupBy(F.col(model).alias("_m")).agg(F.count("*").alias("n"), F.sum((F.col(latency) > slow).cast("int")).alias("n_slow"))
+    quantiles = exact_quantiles(log, model, latency, {"p50": 0.5, "p95": 0.95})
+    return counted.join(quantiles, F.col("_m").eqNullSafe(F.col(model))).select(model, "n", "n_slow", "p50", "p95")
 
 
 def recall_report(arms: DataFrame, fused: DataFrame) -> DataFrame:
