@@ -278,17 +278,25 @@ def html_tables(spark, sf):
     )
 
 
+_TABLE_CELLS = """
+cells as (select o, r - 1 as r, i, case when r = 1 and i = 2 then 2 else 1 end as col_span, regexp_extract_all(regexp_extract_all(above, '<tr>(.*?)</tr>', 1)[r], '<t[dh][^>]*>(.*?)</t[dh]>', 1)[i] as text from tabs, unnest(range(1, len(regexp_extract_all(above, '<tr>(.*?)</tr>', 1)) + 1)) as u(r),
+   unnest(range(1, case when r = 1 then 3 else 4 end)) as v(i))
+"""
+
+
 @query(
     "t14_table_cells",
-    with_ctes(_TABLES, """
-cells as (select o, r - 1 as r, i, case when r = 1 and i = 2 then 2 else 1 end as col_span, regexp_extract_all(regexp_extract_all(above, '<tr>(.*?)</tr>', 1)[r], '<t[dh][^>]*>(.*?)</t[dh]>', 1)[i] as text from tabs, unnest(range(1, len(regexp_extract_all(above, '<tr>(.*?)</tr>', 1)) + 1)) as u(r),
-   unnest(range(1, case when r = 1 then 3 else 4 end)) as v(i))""", "select o, r::int as r, (i - 1)::int as c, 1 as row_span, col_span, text from cells"),
+    with_ctes(_TABLES, _TABLE_CELLS, "select o, r::int as r, (i - 1)::int as c, 1 as row_span, col_span, text from cells"),
 )
 def cells(spark, sf):
     return O.table_cells(html_tables(spark, sf), ["o"], "above")
 
 
-@query("t14_table_cells_spanned")
+# The first header cell hangs down into the first data row, whose cells all move by one column.
+@query(
+    "t14_table_cells_spanned",
+    with_ctes(_TABLES, _TABLE_CELLS, "select o, r::int as r, (i - 1 + (r = 1)::int)::int as c, case when r = 0 and i = 1 then 2 else 1 end as row_span, col_span, text from cells"),
+)
 def spanned(spark, sf):
     hung = html_tables(spark, sf).withColumn("above", F.replace("above", F.lit("<th>n</th>"), F.lit('<th rowspan="2">n</th>')))
     return O.table_cells(hung, ["o"], "above")
