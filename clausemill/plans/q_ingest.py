@@ -11,7 +11,7 @@ from clausemill.plans.fixtures import MD_CHUNKS, MD_DOCS, md_docs, with_ctes
 from clausemill.plans.q_structure import md_chunks
 from clausemill.plans.registry import query
 from clausemill.plans.scratch import scratch
-from clausemill.session import load
+from clausemill.session import cut_lineage, load
 from clausemill.sources import files as SF, stores as SS
 
 
@@ -69,6 +69,22 @@ def pdf_files(spark, sf):
     )
 
 
+@query(
+    "s03_read_files",
+    """select page_id % 8 as bucket, 1 as n_files, sum(strlen(coalesce(html, '')) + 1)::bigint as n_bytes, sum(strlen(coalesce(html, '')) - strlen(replace(coalesce(html, ''), '<', '')))::bigint as n_tags from pages group by 1""",
+)
+def file_bytes(spark, sf):
+    """The pages as eight files of raw text, read back as bytes."""
+    path = scratch(spark, "files") + "/files"
+    pages = load(spark, sf, "pages").select((F.col("page_id") % 8).alias("bucket"), F.coalesce("html", F.lit("")).alias("html"))
+    pages.repartition(8, "bucket").write.partitionBy("bucket").text(path)
+    files = SF.read_files(spark, f"{path}/bucket=*", "*.txt")
+    tags = F.length(F.regexp_replace(F.decode("content", "iso-8859-1"), "[^<]", ""))
+    return files.groupBy(F.regexp_extract("path", "/bucket=([0-9]+)/", 1).cast("long").alias("bucket")).agg(
+        F.count("*").cast("int").alias("n_files"), F.sum("length").alias("n_bytes"), F.sum(tags).cast("long").alias("n_tags")
+    )
+
+
 @query("s04_list_by_substring", "select url from pages where starts_with(url, 'https://') and contains(url, '/en/') and ends_with(url, '.html')")
 def by_substring(spark, sf):
     return SF.list_by_substring(load(spark, sf, "pages"), "url", "https://", "/en/", ".html").select("url")
@@ -102,6 +118,18 @@ def object_meta(spark, sf):
     return SF.object_meta(load(spark, sf, "pages"), "url", "html").select("page_id", "key", "etag", "length")
 
 
+@query(
+    "s07_object_type_and_time",
+    r"""with k as (select page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) as key, html from pages),
+t as (select *, lower(regexp_extract(key, '\.([A-Za-z0-9]+)$', 1)) as ending from k)
+select page_id, case when ending in ('html', 'htm') then 'text/html' when ending = 'md' then 'text/markdown' when ending = 'txt' then 'text/plain' when ending = 'json' then 'application/json' when ending = 'pdf' then 'application/pdf'
+  when ending = 'png' then 'image/png' when ending in ('jpg', 'jpeg') then 'image/jpeg' else 'application/octet-stream' end as content_type, md5(html) as etag, page_id * 1000000 as modified_us from t""",
+)
+def object_type(spark, sf):
+    found = SF.object_meta(load(spark, sf, "pages"), "url", "html", F.timestamp_seconds("page_id"))
+    return found.select("page_id", "content_type", "etag", F.unix_micros("modified").alias("modified_us"))
+
+
 @query(
     "s08_load_code_table",
     """select p_brand as code_category, p_partkey::varchar as key_code, p_name as key_name from part where p_size % 7 <> 0 and p_size % 5 <> 0""",
@@ -177,6 +205,36 @@ def write_artifacts(spark, sf):
     return stored.groupBy("policy_no").agg(F.count("*").alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
 
 
+@query(
+    "s13_write_all_artifacts",
+    with_ctes(MD_DOCS, MD_CHUNKS, """
+parts as (select doc_id, 'chunks' as kind, md5(page_content) as h from md_chunks union all select doc_id, 'catalog', md5(original_index || ':' || structure_path) from md_chunks where structure_path <> ''
+  union all select doc_id, 'parsed', md5(md) from md_docs union all select doc_id, 'metadata', md5('{"n_chars":' || length(md) || ',"kind":"md"}') from md_docs)""", """
+select doc_id::varchar as policy_no, kind, count(*) as n, md5(string_agg(h, '' order by h)) as digest from parts group by all"""),
+)
+def all_artifacts(spark, sf):
+    """Headings, whole text, chunks and a record of each document, written by kind and read back."""
+    root = scratch(spark, "artifacts")
+    docs = md_docs(spark, sf).select("doc_id", "md")
+    chunks = cut_lineage(md_chunks(spark, sf))
+    kinds = {
+        "chunks": chunks.select("doc_id", F.col("page_content").alias("body")),
+        "catalog": chunks.filter("structure_path <> ''").select("doc_id", F.concat_ws(":", F.col("original_index").cast("string"), "structure_path").alias("body")),
+        "parsed": docs.select("doc_id", F.col("md").alias("body")),
+        "metadata": docs.select("doc_id", F.to_json(F.struct(F.length("md").alias("n_chars"), F.lit("md").alias("kind"))).alias("body")),
+    }
+    SF.write_artifacts(spark, root, **{
+        kind: rows.select(F.col("doc_id").cast("string").alias("policy_no"), F.lit("v1").alias("signature"), "body") for kind, rows in kinds.items()
+    })
+    schema, stored = "body string, policy_no string, signature string", None
+    for kind in kinds:
+        rows = spark.read.schema(schema).parquet(f"{root}/{kind}").select("policy_no", F.lit(kind).alias("kind"), F.md5("body").alias("h"))
+        stored = rows if stored is None else stored.unionByName(rows)
+    return stored.groupBy("policy_no", "kind").agg(
+        F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("digest")
+    )
+
+
 @query("i01_filename_from_url", r"""select page_id, nullif(url_decode(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1)), '') as file_name from pages""")
 def filenames(spark, sf):
     return load(spark, sf, "pages").select("page_id", urls.filename_from_url(F.col("url")).alias("file_name"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clausemill.functions import urls
 
 CHUNK_SCHEMA = "index string, page_content string, metadata map<string,string>"
-ARTEFACT_KINDS = ("catalog", "parsed", "chunks")
+ARTEFACT_KINDS = ("catalog", "parsed", "chunks", "metadata")
+# Content types by file name ending; anything else is plain bytes.
+CONTENT_TYPES = {
+    "html": "text/html", "htm": "text/html", "md": "text/markdown", "txt": "text/plain", "json": "application/json",
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+}
+PLAIN_BYTES = "application/octet-stream"
 
 
 def read_chunks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -89,14 +95,26 @@ def existing_prefixes(prefixes: DataFrame, prefix: str, objects: DataFrame, name
     return prefixes.join(known, prefix, "left_semi")
 
 
-def object_meta(objects: DataFrame, url: str, content: str) -> DataFrame:
-    """Key, etag and length of objects; the etag is the content hash, its quotes stripped."""
+def content_type(key: Column) -> Column:
+    """Type of an object by the ending of its key, whatever its letter case."""
+    ending = F.lower(F.regexp_extract(key, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(*[F.when(ending == e, F.lit(t)) for e, t in CONTENT_TYPES.items()], F.lit(PLAIN_BYTES))
+
+
+def object_meta(objects: DataFrame, url: str, content: str, modified: Column | None = None) -> DataFrame:
+    """Key, etag, type, length and time of change of objects; the etag is the content hash, its quotes stripped.
+
+    ``modified`` is a timestamp of the listing (``_metadata.file_modification_time`` for files); null without one.
+    """
     quoted = F.concat(F.lit('"'), F.md5(content), F.lit('"'))
+    key = urls.object_key(F.col(url))
     return objects.withColumns(
         {
-            "key": urls.object_key(F.col(url)),
+            "key": key,
             "etag": urls.bare_etag(quoted),
+            "content_type": content_type(key),
             "length": F.octet_length(content).cast("bigint"),
+            "modified": F.lit(None).cast("timestamp") if modified is None else modified,
         }
     )
 
