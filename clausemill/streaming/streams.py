@@ -12,9 +12,10 @@ from clausemill.operators.ingest import exact_dedup
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A growing table of parquet files as a stream."""
+    """A growing table of parquet files, or one file, as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A stream takes a folder, or a pattern; as a pattern the name fits a folder of files as well as a file.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
