@@ -40,7 +40,7 @@ def assign_chars(chars: DataFrame, spans: DataFrame, page: str, cell: int = 50)
     placed = a.withColumn("cy", F.floor(mid_y / cell)).withColumn("cx", F.explode(F.sequence(F.floor(F.col("a_x0") / CELL), F.floor(F.col("a_x1") / CELL))))
     covered = _spread(b, page, "b_", cell).withColumn("cx", F.explode(F.sequence(F.floor(F.col("b_x0") / CELL), F.floor(F.col("b_x1") / CELL))))
     return (
-        placed.join(covered, [page, "cx", "cy"])
+        placed.join(covered.hint("merge"), [page, "cx", "cy"])  # both sides are far larger than the tables their size is guessed from
         .filter(near_y & (within | at_end | at_start))
         .groupBy(page, "char_idx")
         .agg(F.min("span_id").alias("span_id"))

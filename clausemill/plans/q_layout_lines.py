@@ -53,7 +53,7 @@ def assign_chars(spark, sf):
 )
 def char_text(spark, sf):
     owned = N.assign_chars(chars(spark, sf), word_spans(spark, sf), "page")
-    return N.chars_to_text(chars(spark, sf).join(owned, ["page", "char_idx"]), "page")
+    return N.chars_to_text(chars(spark, sf).join(owned.hint("merge"), ["page", "char_idx"]), "page")
 
 
 @query("l20_needs_ocr", with_ctes(BOXES, "select page, box_id from boxes where length(flag) * (category_id % 3) * (y1 - y0) < (x1 - x0) / 2"))
