@@ -18,21 +18,27 @@ def rolling_rate(log: DataFrame, key: str, ts: str, spans: dict[str, int], chunk
     """Calls of the key in the trailing spans (microseconds, both ends included) at each call.
 
     The time line of a key is cut into chunks, and each chunk also gets the rows of
-    the longest span before it, so a busy key is many tasks' work.
+    the longest span before it, so a busy key is many tasks' work. A span's calls are the
+    difference of two running counts, up to the call and to the span's begin, so a chunk
+    costs one sort however many calls a span holds.
     """
     longest = max(spans.values())
     if chunk < longest:
         raise ValueError("a chunk must be at least as long as the longest span")
-    own = F.floor(F.col(ts) / chunk)
-    spread = log.withColumn("_own", own).withColumn(
-        "_chunk",
-        F.explode(F.when(F.col(ts) >= (own + 1) * chunk - longest, F.array(own, own + 1)).otherwise(F.array(own))),
-    )
-    out = spread
-    for name, span in spans.items():
-        w = Window.partitionBy(key, "_chunk").orderBy(ts).rangeBetween(-span, 0)
-        out = out.withColumn(name, F.count("*").over(w))
-    return out.filter("_own = _chunk").drop("_own", "_chunk")
+    at = F.col("_ts")
+    own = F.floor(at / chunk)
+    times = log.filter(F.col(ts).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
+    # Per time: its calls, in its chunk and the next if a span there may reach back to it, and a mark at the begin of each span.
+    calls = F.when(at >= (own + 1) * chunk - longest, F.array(own, own + 1)).otherwise(F.array(own))
+    marks = [F.struct(own.alias("chunk"), (at - span).alias("at"), F.lit(i).alias("mark"), F.lit(0).cast("long").alias("n")) for i, span in enumerate(spans.values())]
+    seen = F.transform(calls, lambda c: F.struct(c.alias("chunk"), at.alias("at"), F.lit(len(spans)).alias("mark"), F.col("_n").alias("n")))
+    points = times.select("_key", "_ts", own.alias("_own"), F.inline(F.concat(F.array(*marks), seen)))
+    # Marks come before the calls of their time, as a span holds its begin.
+    upto = F.sum("n").over(Window.partitionBy("_key", "chunk").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0))
+    mine = points.withColumn("_upto", upto).filter("chunk = _own")
+    counts = mine.groupBy("_key", "chunk", "_ts").agg(*[F.max(F.when(F.col("mark") == i, F.col("_upto"))).alias(f"_{i}") for i in range(len(spans) + 1)])
+    rates = counts.select("_key", "_ts", *[(F.col(f"_{len(spans)}") - F.col(f"_{i}")).alias(name) for i, name in enumerate(spans)])
+    return log.join(rates, F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts) == F.col("_ts"))).drop("_key", "_ts")
 
 
 def breaches(rates: DataFrame, limits: dict[str, int]) -> DataFrame:
