@@ -8,6 +8,7 @@ from clausemill.functions import urls
 
 CHUNK_SCHEMA = "index string, page_content string, metadata map<string,string>"
 ARTEFACT_KINDS = ("catalog", "parsed", "chunks", "metadata")
+SHELVES = 64  # folders of a kind in the artefact store
 # Content types by file name ending; anything else is plain bytes.
 CONTENT_TYPES = {
     "html": "text/html", "htm": "text/html", "md": "text/markdown", "txt": "text/plain", "json": "application/json",
@@ -119,15 +120,18 @@ def object_meta(objects: DataFrame, url: str, content: str, modified: Column | N
     )
 
 
-def write_artifacts(spark: SparkSession, root: str, **kinds: DataFrame) -> None:
-    """Append the artefacts of policies below ``root/kind/policy_no=../signature=..``.
+def write_artifacts(spark: SparkSession, root: str, shelves: int = SHELVES, **kinds: DataFrame) -> None:
+    """Append the artefacts of policies below ``root/kind/shelf=..``; policy and signature are columns.
 
-    Rows are spread by policy, signature and a salt, so a large policy is written by several tasks.
+    A policy's shelf is a hash of its number, so folders and files don't grow with the policies. Files are
+    in order of policy and signature, so readers of one skip the rest by their statistics. Rows are
+    spread by shelf and a salt, so a large policy is written by several tasks.
     """
     for kind, rows in kinds.items():
         if kind not in ARTEFACT_KINDS:
             raise ValueError(f"unknown artefact kind {kind}")
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if dict(rows.dtypes)[c][:3] != "map"]), F.lit(8)))
-        salted.repartition("policy_no", "signature", "_salt").drop("_salt").write.mode("append").partitionBy(
-            "policy_no", "signature"
-        ).parquet(f"{root}/{kind}")
+        shelved = salted.withColumn("shelf", F.pmod(F.xxhash64("policy_no"), F.lit(shelves)).cast("int"))
+        shelved.repartition("shelf", "_salt").drop("_salt").sortWithinPartitions("shelf", "policy_no", "signature").write.mode(
+            "append"
+        ).partitionBy("shelf").parquet(f"{root}/{kind}")

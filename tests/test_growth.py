@@ -21,3 +21,45 @@ def test_stream_of_a_folder(spark, tmp_path, name):
     os.link(f"{tmp_path}/one/{part}", f"{tmp_path}/file/documents.parquet")
     folder, file = (sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{k}").collect())) for k in ("folder", "file"))
     assert folder == file and len(folder) == (5 if name.startswith("k01") else 3)
+
+
+def test_artifacts_share_folders(spark, tmp_path):
+    from clausemill.sources.files import SHELVES, write_artifacts
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("policy_no"), F.lit("v1").alias("signature"), F.concat(F.lit("b"), "id").alias("body"))
+    write_artifacts(spark, str(tmp_path), chunks=rows, parsed=rows.filter("policy_no = '7'"))
+    folders = [d for d in os.listdir(f"{tmp_path}/chunks") if "=" in d]
+    assert 1 < len(folders) <= SHELVES
+    back = spark.read.parquet(f"{tmp_path}/chunks")
+    assert back.select(*rows.columns).exceptAll(rows).isEmpty() and back.count() == 2000
+    assert [r.body for r in spark.read.parquet(f"{tmp_path}/parsed").filter("policy_no = '7' and signature = 'v1'").collect()] == ["b7"]
+
+
+def test_long_joins_are_not_broadcast(spark):
+    from clausemill.operators import layout_lines as N
+
+    chars = spark.createDataFrame([(1, 0, "a", 0, 0, 9, 12), (1, 1, "b", 10, 0, 19, 12)], "page long, char_idx int, ch string, x0 int, y0 int, x1 int, y1 int")
+    spans = spark.createDataFrame([(1, 5, 0, 0, 20, 12)], "page long, span_id int, x0 int, y0 int, x1 int, y1 int")
+    found = N.assign_chars(chars, spans, "page")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 5), (1, 1, 5)]
+    for df in (found, QUERIES["l19_chars_to_text"](spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rolling_rate_of_dense_log(spark):
+    from clausemill.operators.call_logs import rolling_rate
+
+    # Every call of one hour, many at the same time; the longest span holds all of them.
+    log = spark.range(200_000).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") % 50_000 * 72_000).alias("ts"), "id")
+    log = log.withColumn("k", F.when(F.col("k") != "2", F.col("k")))
+    got = rolling_rate(log, "k", "ts", {"short": 720_000, "long": 3_600_000_000}, 3_600_000_000)
+    assert got.columns == ["k", "ts", "id", "short", "long"]
+    rows = got.toPandas()
+    assert len(rows) == 200_000
+    for k, part in rows.groupby(rows["k"].fillna("-")):
+        times = sorted(part["ts"])
+        for r in part.sample(50, random_state=1).itertuples():
+            assert r.short == sum(r.ts - 720_000 <= t <= r.ts for t in times) and r.long == sum(t <= r.ts for t in times)
+    plan = got._jdf.queryExecution().toString()
+    assert "RangeFrame" not in plan  # a frame that slides over a chunk's calls takes time with their square
