@@ -11,6 +11,7 @@ below that are skipped. Slices are scored side by side, by array operations over
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ LENGTH_RATIO = 1.25  # chunks of one slice differ in length by less
 FIRST_SLICES = 2  # of each query, scored for its bar
 QUERY_TERMS = 50_000  # distinct terms, summed over queries, that go to the tasks at once
 CELLS = 1 << 22  # of one array of queries by chunks
+ENTRIES = 1 << 21  # of postings that some queries score at once
+TASK_BYTES = 8 << 20  # text whose tokens one task counts
 _SLACK = 1e-6  # far above rounding, so that no chunk is lost to the order of a sum
 
 _TERMS = "term string, df long, cf long, idf double"
@@ -46,12 +49,15 @@ class PostingIndex:
 
 
 def build_index(
-    chunks: DataFrame, key: str, text: str, path: str, slice_chunks: int = SLICE_CHUNKS, k1: float = K1, b: float = B
+    chunks: DataFrame, key: str, text: str, path: str, slice_chunks: int = SLICE_CHUNKS, k1: float = K1, b: float = B, task_bytes: int = TASK_BYTES
 ) -> PostingIndex:
     """Write the index of ``chunks`` below ``path``. Null and empty texts count as chunks without terms."""
     spark = chunks.sparkSession
-    # All tokens of a chunk lie in its partition, so they are counted there without another exchange.
-    words = chunks.select(F.col(key).cast("long").alias("chunk"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("chunk")
+    # All tokens of a chunk lie in its partition, so they are counted there without another exchange. Their counts
+    # take many times the room of the text, so the partitions are counted by the text's bytes.
+    texts = chunks.select(F.col(key).cast("long").alias("chunk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    words = texts.repartition(max(1, -(-n_bytes // task_bytes), min(spark.sparkContext.defaultParallelism, n_bytes >> 16)), "chunk")
     words = words.select("chunk", tokenize(F.col("text")).alias("words")).select("chunk", F.size("words").alias("doc_len"), "words")
     # The null in front stands for the chunk itself.
     term = F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term")
@@ -130,6 +136,17 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
+def _steps(entries: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``most`` queries and ``ENTRIES`` postings; a query of more is alone."""
+    upto = np.cumsum(entries)
+    lo = 0
+    while lo < len(entries):
+        fits = int(np.searchsorted(upto, upto[lo] - entries[lo] + ENTRIES, "right"))
+        hi = max(lo + 1, min(lo + most, fits))
+        yield lo, hi
+        lo = hi
+
+
 def _score_slice(asked: _Asked, k: int):
     """The k best chunks of a slice for each query whose bound there reaches its bar."""
 
@@ -150,11 +167,10 @@ def _score_slice(asked: _Asked, k: int):
         chunks, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         parts = rows["parts"].combine_chunks().flatten().to_numpy()
         found = []
-        step = max(1, CELLS // max(1, len(chunks)))
         asked_here, number = np.unique(query, return_inverse=True)
-        for lo in range(0, len(asked_here), step):
-            a, b = np.searchsorted(number, [lo, lo + step])
-            some = asked_here[lo : lo + step]
+        for lo, hi in _steps(np.bincount(number, sizes[row]), max(1, CELLS // max(1, len(chunks)))):
+            a, b = np.searchsorted(number, [lo, hi])
+            some = asked_here[lo:hi]
             entry = _ragged(begin[row[a:b]], sizes[row[a:b]])
             cell = np.repeat(number[a:b] - lo, sizes[row[a:b]]) * len(chunks) + place[entry]
             value = np.repeat(weight[a:b], sizes[row[a:b]]) * parts[entry]
