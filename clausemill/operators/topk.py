@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 MAX_QUERIES = 2_000
 ROWS_PER_SLICE = 100_000
-MATRIX_CELLS = 1 << 23  # of one numpy matrix of rows by query grams
+STEP_BYTES = 4 << 20  # of corpus rows that a task turns into pandas at once
+MATRIX_CELLS = 1 << 20  # of one numpy matrix of rows by query grams
 
 # (corpus batch, prepared queries, k) -> score matrix rows x queries, higher is better;
 # cells that cannot be among the k best may hold -inf.
@@ -85,15 +87,17 @@ def score_topk(
     elif len(head) <= max_queries:
         block = spark.sparkContext.broadcast(head.sort_values("query_id", ignore_index=True))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ready = prepare(block.value)
             best = _Best(len(block.value), k)
             for batch in batches:
-                if len(batch) and len(block.value):
-                    best.add(batch["key"].to_numpy(), scorer(batch, ready))
-            yield best.frame(block.value["query_id"].to_numpy())
+                step = max(1, len(batch) * STEP_BYTES // max(1, batch.get_total_buffer_size()))
+                for lo in range(0, len(batch), step):
+                    some = batch.slice(lo, step).to_pandas()
+                    best.add(some["key"].to_numpy(), scorer(some, ready))
+            yield pa.RecordBatch.from_pandas(best.frame(block.value["query_id"].to_numpy()), preserve_index=False)
 
-        local = rows.mapInPandas(scan, schema)
+        local = rows.mapInArrow(scan, schema)
     else:
         n_blocks = math.ceil(2 * asked.count() / max_queries)
         n_slices = max(1, math.ceil(2 * rows.count() / rows_per_slice))

@@ -63,3 +63,40 @@ def test_rolling_rate_of_dense_log(spark):
             assert r.short == sum(r.ts - 720_000 <= t <= r.ts for t in times) and r.long == sum(t <= r.ts for t in times)
     plan = got._jdf.queryExecution().toString()
     assert "RangeFrame" not in plan  # a frame that slides over a chunk's calls takes time with their square
+
+
+def test_postings_scored_in_bounded_steps(monkeypatch):
+    import numpy as np
+
+    from clausemill.operators import postings as P
+
+    monkeypatch.setattr(P, "ENTRIES", 10)
+    steps = list(P._steps(np.array([4, 4, 4, 30, 1, 1, 1]), 2))
+    assert steps == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+
+
+def test_index_tasks_are_bounded_by_text(spark, tmp_path):
+    from clausemill.operators import postings as P
+
+    docs = spark.range(400).select(F.col("id").alias("chunk"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: F.concat(F.lit("w"), (F.col("id") * i % 97).cast("string")))).alias("text"))
+    few, many = (P.build_index(docs, "chunk", "text", f"{tmp_path}/{b}", task_bytes=b) for b in (1 << 30, 4096))
+    few, many = (i.terms.select("term", "df", "cf", F.round("idf", 9)) for i in (few, many))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert len([f for f in os.listdir(f"{tmp_path}/4096/counts") if f.endswith(".parquet")]) >= 15
+
+
+def test_topk_in_steps(spark, monkeypatch):
+    from clausemill.operators import retrieval as R, topk
+
+    monkeypatch.setattr(topk, "STEP_BYTES", 200)
+    prepare, scorer = topk.string_match_scorer()
+
+    def watched(batch, ready):
+        assert len(batch) < 40
+        return scorer(batch, ready)
+
+    docs = spark.createDataFrame([(i, "abcdefgh"[: i % 8 + 1] * 3) for i in range(400)], "chunk long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "abc"), (2, "gh")], "query_id long, query string")
+    monkeypatch.setattr(topk, "string_match_scorer", lambda: (prepare, watched))
+    few = sorted(map(tuple, R.string_match_topk(docs, "chunk", "text", asked, "query", 5).collect()))
+    assert [r[1] for r in few if r[0] == 1] == [2, 3, 4, 5, 6] and len(few) == 10
