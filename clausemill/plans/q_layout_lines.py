@@ -262,19 +262,21 @@ tabs as (select o, '<table><tr><th>n</th><th colspan="2">part</th></tr>' || coal
 
 
 def html_tables(spark, sf):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    cells = [F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in ("l_linenumber", "l_partkey", "l_returnflag")]
-    rows = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("n"), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("tr"))
+    items = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    rows = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(items)).alias("items"))
 
     def half(rest):
-        return ordered_join([F.col("n")], F.when(F.col("n") % 2 == rest, F.col("tr")), "")
+        def tr(x):
+            return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x[c].cast("string"), F.lit("</td>")) for c in ("l_linenumber", "l_partkey", "l_returnflag")], F.lit("</tr>"))
+
+        return F.array_join(F.transform(F.filter("items", lambda x, i: i % 2 == rest), tr), "")
 
     other = F.when(F.col("o") % 4 == 0, "other").otherwise("part")
     tail = F.when(F.col("o") % 5 == 0, "<tr><td>x</td></tr>").otherwise("")
-    return rows.groupBy("o").agg(half(1).alias("odd"), half(0).alias("even")).select(
+    return rows.select(
         "o",
-        F.concat(F.lit('<table><tr><th>n</th><th colspan="2">part</th></tr>'), "odd", F.lit("</table>")).alias("above"),
-        F.concat(F.lit('<table><tr><th>n</th><th colspan="2">'), other, F.lit("</th></tr>"), "even", tail, F.lit("</table>")).alias("below"),
+        F.concat(F.lit('<table><tr><th>n</th><th colspan="2">part</th></tr>'), half(0), F.lit("</table>")).alias("above"),
+        F.concat(F.lit('<table><tr><th>n</th><th colspan="2">'), other, F.lit("</th></tr>"), half(1), tail, F.lit("</table>")).alias("below"),
     )
 
 
