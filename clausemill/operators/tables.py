@@ -2,54 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from clausemill.functions import tables as T
-from clausemill.functions.binding import let
 from clausemill.functions.ordered import ordered_join
 
-_CELLS = "array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>"
 
+def _columns(tables: pa.Array) -> pa.Array:
+    """First column of every cell of tables of ``(row_span, col_span)``, whose cells may hang down into later rows; null for null."""
+    rows = tables.flatten()
+    cells = rows.flatten()
+    n_rows, n_cells = pc.list_value_length(tables), pc.list_value_length(rows).to_pylist()
+    spans = zip(cells.field("row_span").to_pylist(), cells.field("col_span").to_pylist(), strict=True)
+    out: list[int] = []
+    row_lengths = iter(n_cells)
+    for n in n_rows.to_pylist():
+        until: dict[int, int] = {}  # first row in which a column is free again
+        for r in range(n or 0):
+            c = 0
+            for row_span, col_span in itertools.islice(spans, next(row_lengths)):
+                while until and until.get(c, 0) > r:
+                    c += 1
+                out.append(c)
+                if row_span > 1:
+                    until.update((k, max(until.get(k, 0), r + row_span)) for k in range(c, c + col_span))
+                c += col_span
 
-def place_spanned(cells: list) -> list[dict]:
-    """Column of every cell of one table whose cells may hang down into later rows."""
-    taken: set[tuple[int, int]] = set()
-    out = []
-    r, c = -1, 0
-    for cell in cells:
-        if cell["r"] != r:
-            r, c = cell["r"], 0
-        while (r, c) in taken:
-            c += 1
-        rs, cs = cell["row_span"], cell["col_span"]
-        taken.update((r + i, c + j) for i in range(rs) for j in range(cs))
-        out.append({"r": r, "c": c, "row_span": rs, "col_span": cs, "text": cell["text"]})
-        c += cs
-    return out
+    def ends(lengths: list) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
 
-
-def _place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(place_spanned)
+    by_row = pa.ListArray.from_arrays(pa.array(ends(n_cells)), pa.array(out, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends(n_rows.fill_null(0).to_pylist())), by_row, mask=tables.is_null())
 
 
 def table_cells(tables: DataFrame, keys: list[str], html: str) -> DataFrame:
     """``(keys, r, c, row_span, col_span, text)``; columns count what row spans occupy.
 
-    Only tables with row spans leave the JVM.
+    One pass over the tables. Only the spans of tables with row spans leave the JVM.
     """
-    spanned = F.col(html).rlike(r"""(?i)\browspan\s*=\s*["']?0*([2-9]|1\d)""")
-    cells = F.transform(T.table_rows(F.col(html)), T.row_cells)
-    plain = tables.filter(~spanned).select(*keys, F.posexplode(T.table_rows(F.col(html))).alias("r", "row"))
-    plain = plain.select(*keys, "r", F.explode(let(T.row_cells(F.col("row")), T.placed_cells)).alias("x"))
-    plain = plain.select(*keys, "r", "x.c", "x.row_span", "x.col_span", "x.text")
-    flat = F.flatten(F.transform(cells, lambda row, r: F.transform(row, lambda x: x.withField("r", r))))
-    hanging = tables.filter(spanned).select(*keys, flat.alias("cells"))
-    hanging = hanging.select(*keys, F.inline(F.pandas_udf(_place, _CELLS)("cells")))
-    return plain.unionByName(hanging)
+    hangs = F.exists("_cells", lambda row: F.exists(row, lambda x: x["row_span"] > 1))
+    spans = F.transform("_cells", lambda row: F.transform(row, lambda x: F.struct(x["row_span"].alias("row_span"), x["col_span"].alias("col_span"))))
+    parsed = tables.select(*keys, F.transform(T.table_rows(F.col(html)), T.row_cells).alias("_cells"))
+    placed = parsed.withColumn("_c", F.arrow_udf(_columns, "array<array<int>>")(F.when(hangs, spans))).select(*keys, "_c", F.posexplode("_cells").alias("r", "_row"))
+    hung = F.zip_with("_row", F.element_at("_c", F.col("r") + 1), lambda x, c: x.withField("c", c))
+    cells = F.when(F.col("_c").isNull(), T.placed_cells(F.col("_row"))).otherwise(hung)
+    return placed.select(*keys, "r", F.explode(cells).alias("x")).select(*keys, "r", "x.c", "x.row_span", "x.col_span", "x.text")
 
 
 def cells_to_html(cells: DataFrame, key: str) -> DataFrame:
