@@ -144,16 +144,19 @@ def script_lang(text: Column) -> Column:
     """``ja`` / ``ko`` / ``zh`` by the share of their scripts among the letters, else ``other``."""
 
     def count(cls: str) -> Column:
-        return F.regexp_count(text, F.lit(cls))
-
-    letters = F.greatest(count(r"\p{L}"), F.lit(1))
-    kana = count(r"[\p{IsHiragana}\p{IsKatakana}]")
-    hangul, han = count(r"\p{IsHangul}"), count(r"\p{IsHan}")
-    return (
-        F.when(kana * 20 >= letters, "ja")
-        .when(hangul * 10 >= letters * 3, "ko")
-        .when((han + kana) * 10 >= letters * 3, "zh")
-        .otherwise("other")
+        # What is left when runs of other characters go; an array of all matches would be the text over again.
+        return F.length(F.regexp_replace(text, rf"[^{cls}]+", ""))
+
+    kinds = F.struct(
+        F.greatest(count(r"\p{L}"), F.lit(1)).alias("letters"), count(r"\p{IsHiragana}\p{IsKatakana}").alias("kana"),
+        count(r"\p{IsHangul}").alias("hangul"), count(r"\p{IsHan}").alias("han"),
+    )
+    return let(
+        kinds,
+        lambda k: F.when(k["kana"] * 20 >= k["letters"], "ja")
+        .when(k["hangul"] * 10 >= k["letters"] * 3, "ko")
+        .when((k["han"] + k["kana"]) * 10 >= k["letters"] * 3, "zh")
+        .otherwise("other"),
     )
 
 
@@ -166,7 +169,7 @@ def join_lines(found: Column, lang: Column) -> Column:
             F.concat(s, F.lit(" "))
         ),
     )
-    return F.when(lang.isin("zh", "ja", "ko"), F.array_join(trimmed, "")).otherwise(F.array_join(spaced, ""))
+    return F.when(let(lang, lambda x: x.isin("zh", "ja", "ko")), F.array_join(trimmed, "")).otherwise(F.array_join(spaced, ""))
 
 
 def promote_headings(text: Column) -> Column:

@@ -131,3 +131,57 @@ def test_cells_hang_past_later_rows(spark):
     assert {tuple(r)[1:] for r in got if r.k == 1} == a == {tuple(r)[1:] for r in got if r.k == 5}
     assert sorted(tuple(r)[1:] for r in got if r.k in (2, 3, 4)) == [(0, 0, 1, 2, "x"), (0, 2, 1, 1, "y")]
     assert len(got) == 14
+
+
+def test_pages_share_batches(spark):
+    import pandas as pd
+
+    from clausemill.operators import hooks as H
+
+    rows = [(p, str(p % 3) if p % 4 else None, b, None if (p, b) == (5, 1) else 2**60 + b, b % 2 == 0 if p != 7 else None, b / 2) for p in [None, *range(40)] for b in range(3) for p in [p or 0]]
+    rows += [(None, "x", b, b, True, 0.5) for b in range(4)]
+    df = spark.createDataFrame(rows, "page long, k string, b int, big long, ok boolean, y double")
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds = ",".join(f"{c}:{t}" for c, t in pdf.dtypes.items())
+        return pd.DataFrame({"n": [len(pdf)], "big": [pdf["big"].max()], "kinds": [kinds], "seen": [str(sorted(map(str, pdf["ok"])))]})
+
+    schema = "n long, big long, kinds string, seen string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pages lie over the ends of batches
+    try:
+        got = H.per_page(df, ["page", "k"], rule, schema)
+        want = df.groupBy("page", "k").applyInPandas(rule, schema)
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in _plan(got)
+
+
+def test_script_is_counted_without_matches(spark):
+    from clausemill.functions import text as X
+
+    texts = ["", "term " * 3, "保险责任abc", "ひらがなカナ漢字", "보험금 abc", "123 !?", "a" * 19 + "カ", "a" * 20 + "カ", "𠀀𠀁", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.script_lang(F.col("t")).alias("l"), X.join_lines(F.split("t", " ", -1), X.script_lang(F.col("t"))).alias("j"))
+    assert [r.l for r in df.collect()] == ["other", "other", "zh", "ja", "ko", "other", "ja", "other", "zh", "other"]
+    assert [r.j for r in df.collect()][1:3] == ["term term term ", "保险责任abc"]
+    assert "regexp_count" not in _plan(df) and "regexp_extract_all" not in _plan(df)
+
+
+def test_plain_rounding_is_exact(spark):
+    import random
+
+    from clausemill.functions import boxes as B
+
+    pick = random.Random(5)
+    values = [pick.uniform(-10, 10) * 10 ** pick.randint(-8, 17) for _ in range(20_000)]
+    values += [k / 2 for k in range(-50, 50)] + [k / 3 for k in range(-999, 999)] + [k / 8e6 for k in range(-99, 99)] + [k * 0.01 * 100 for k in range(100)]
+    values += [k + 0.5 + e for k in range(-9, 9) for e in (1e-16, -1e-16, 5e-4, -5e-4, 2e-3)]
+    values += [0.49999999999999994, 2.675, 1.005, -0.0, -1e-9, 1e300, float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 6):
+        wrong = df.filter(~B.rounded(F.col("x"), digits).eqNullSafe(F.round("x", digits)))
+        assert wrong.isEmpty(), wrong.head(3)
+    # Boxes and slices meet the slow form for values beside a half only.
+    plan = _plan(QUERIES["l26_virtual_lines"](spark, "/root/testdata/sf0.001"))
+    assert "round(" in plan and plan.count("ELSE round(") + plan.count("else round(") == plan.count(" round(") + plan.count("(round(")
