@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions import boxes as B
+from clausemill.functions.binding import let
 from clausemill.functions.ordered import ordered_join, ordered_list
 from clausemill.operators.layout_boxes import CELL, row_islands
 from clausemill.session import cut_lineage
@@ -143,9 +144,12 @@ def virtual_lines(b, height: Column, page_w: Column, page_h: Column) -> Column:
         .when(h / w > 1.2, 1)
         .otherwise(2)
     )
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(i.alias("n"), (b[1] + h / n * i).alias("y0"), (b[1] + h / n * (i + 1)).alias("y1")),
+    return let(
+        F.struct(n.alias("n"), (h / n).alias("each")),
+        lambda s: F.transform(
+            F.sequence(F.lit(0), s["n"] - 1),
+            lambda i: F.struct(i.alias("n"), (b[1] + s["each"] * i).alias("y0"), (b[1] + s["each"] * (i + 1)).alias("y1")),
+        ),
     )
 
 

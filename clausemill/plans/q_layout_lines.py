@@ -144,7 +144,7 @@ select page, box_id, i as n, round(y0 + h / n * i, 6) as y0, round(y0 + h / n *
 def virtual(spark, sf):
     tall = boxes(spark, sf).withColumn("y1", F.col("y1") * 3 - F.col("y0") * 2)
     slices = N.virtual_lines(B.box(), F.col("category_id") + 7, F.lit(300), F.lit(500))
-    return tall.select("page", "box_id", F.inline(slices)).select("page", "box_id", "n", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+    return tall.select("page", "box_id", F.inline(slices)).select("page", "box_id", "n", B.rounded(F.col("y0"), 6).alias("y0"), B.rounded(F.col("y1"), 6).alias("y1"))
 
 
 @query("l27_reading_order")
