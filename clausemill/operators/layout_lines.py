@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions import boxes as B
@@ -156,24 +154,33 @@ def virtual_lines(b, height: Column, page_w: Column, page_h: Column) -> Column:
 def xy_cut(rows: DataFrame, page: str) -> DataFrame:
     """``position`` per box: pages fall into bands at y gaps, bands into columns at x gaps, and so on.
 
-    Each round cuts every group of every page at once and is checkpointed; the loop
-    ends when no group falls apart in either direction.
+    Each round cuts every open group of every page at once and is checkpointed. A group is known by the place it starts at.
+    Only columns of a band that fell apart can be cut again; all others get their places and leave the loop, which
+    ends when none is open. Both cuts and the places keep the group's rows together, so a round has one shuffle.
     """
-    now = rows.select(page, "box_id", *B.COORDS, F.lit("").alias("path"))
-    for depth in itertools.count():
-        split = now
-        for lo, hi in (("y0", "y1"), ("x0", "x1")):
-            w = Window.partitionBy(page, "path").orderBy(lo, hi, "box_id")
+    now = rows.select(page, "box_id", *B.COORDS, F.lit(0).alias("start"))
+    placed = None
+    while True:
+        keys, split = [page, "start"], now
+        for part, lo, hi in (("band", "y0", "y1"), ("column", "x0", "x1")):
+            w = Window.partitionBy(*keys).orderBy(lo, hi, "box_id")
             reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-            split = split.withColumn("_gap", F.when(F.col(lo) >= reach, 1).otherwise(0))
-            number = F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
-            split = split.withColumn("path", F.concat("path", F.lpad(number.cast("string"), 8, "0"))).drop("_gap")
-        split = cut_lineage(split.withColumn("_fell", F.substr("path", F.lit(16 * depth + 1)) != "0" * 16))
-        now = split.drop("_fell")
-        if split.filter("_fell").isEmpty():
-            break
-    w = Window.partitionBy(page).orderBy("path", "y0", "x0", "box_id")
-    return now.select(page, "box_id", (F.row_number().over(w) - 1).alias("position"))
+            split = split.withColumns({"_reach": reach, "_n": F.row_number().over(w) - 1})
+            opens = F.when(F.col(lo) >= F.col("_reach"), F.col("_n")).otherwise(0)
+            split = split.withColumn(part, F.col(keys[-1]) + F.max(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            keys = [*keys, part]
+        fell = F.max("column").over(Window.partitionBy(*keys[:-1])) > F.col("band")
+        several = F.count("*").over(Window.partitionBy(*keys)) > 1
+        place = F.col("column") + F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "box_id")) - 1
+        split = split.withColumn("_fell", fell).withColumns({"_several": several, "position": place})
+        split = cut_lineage(
+            split.select(page, "box_id", *B.COORDS, F.col("column").alias("start"), "position", (F.col("_fell") & F.col("_several")).alias("_open"))
+        )
+        done = split.filter("not _open").select(page, "box_id", "position")
+        placed = done if placed is None else placed.unionByName(done)
+        now = split.filter("_open").drop("position", "_open")
+        if now.isEmpty():
+            return placed
 
 
 def block_index(ordered: DataFrame, page: str, block: str) -> DataFrame:
