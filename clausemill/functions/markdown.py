@@ -103,19 +103,30 @@ def section_at(sections: Column, line_idx: Column) -> Column:
     return F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(sections, F.lit(1)))
 
 
+def with_first_chars(sections: Column, text: Column) -> Column:
+    """Sections with ``first_char``, the place in the text, from 1, where the line numbered ``start_line`` begins."""
+
+    def first_char(n: Column) -> Column:
+        return F.when(n == 0, 1).otherwise(F.length(F.call_function("substring_index", text, F.lit("\n"), n)) + 2)
+
+    return F.transform(sections, lambda s: s.withField("first_char", first_char(s["start_line"])))
+
+
 def section_of_first_line(sections: Column, text: Column, content: Column) -> Column:
     """Compatibility form: locate the content's first line by its first occurrence in the text.
 
     Repeated first lines are attributed to the earliest place; a line that is not
-    found belongs to the last section.
+    found belongs to the last section. ``sections`` come from :func:`with_first_chars`,
+    so a place is compared with theirs and no line is counted; without sections nothing is looked for.
     """
     first = strip(F.element_at(F.split(strip(content), "\n", 2), 1))
 
     def locate(pos: Column) -> Column:
-        line_idx = F.size(F.split(F.substr(text, F.lit(1), pos - 1), "\n", -1)) - 1
-        return F.when(pos == 0, F.try_element_at(sections, F.lit(-1))).otherwise(section_at(sections, line_idx))
+        before = F.filter(sections, lambda s: s["first_char"] <= pos)
+        near = F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(sections, F.lit(1)))
+        return F.when(pos == 0, F.try_element_at(sections, F.lit(-1))).otherwise(near)
 
-    return F.when(first != "", let(F.instr(text, first), locate))
+    return F.when((F.size(sections) > 0) & (first != ""), let(F.instr(text, first), locate))
 
 
 def _code_flags(found: Column) -> Column:

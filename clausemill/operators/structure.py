@@ -75,11 +75,12 @@ def chunks(docs: DataFrame, key: str, text: str, compat_files: bool = False) ->
     ``compat_files=True`` looks a chunk's file up by the first occurrence of its
     first line instead of by its true line number.
     """
-    cut = docs.select(
-        key,
-        F.col(text).alias("_text"),
-        M.file_sections(F.col(text)).alias("_sections"),
-        F.posexplode(M.chunk_by_header(F.col(text))).alias("original_index", "c"),
+    # Sections stand in a projection of their own: beside the generator they would be found again for every chunk.
+    sections = M.file_sections(F.col(text))
+    if compat_files:
+        sections = M.with_first_chars(sections, F.col(text))
+    cut = docs.select(key, F.col(text).alias("_text"), sections.alias("_sections")).select(
+        key, "_text", "_sections", F.posexplode(M.chunk_by_header(F.col("_text"))).alias("original_index", "c")
     )
     if compat_files:
         file = M.section_of_first_line(F.col("_sections"), F.col("_text"), F.col("c.page_content"))

@@ -66,3 +66,23 @@ def test_reading_order_goes_on_with_open_groups(spark, monkeypatch):
     for df, _ in seen:
         assert df._jdf.queryExecution().sparkPlan().toString().count("Window") >= 5
         assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_sections_are_found_once_per_document(spark):
+    from clausemill.operators import structure as S
+
+    text = "# head\nbody\n# FILE: a.md\n# one\nsame\n# FILE: b.md | kind\n# one\nmore é\n# FILE: c.md\n# body\n# é\nlast"
+    rows = [(1, text), (2, "# x\ny"), (3, None), (4, ""), (5, "x\r# FILE: d.md\n# FILE: e.md\n# x\n# e.md\n\n"), (6, text.replace("\n", "\r\n"))]
+    docs = spark.createDataFrame(rows, "doc_id int, md string")
+    for compat in (False, True):
+        plan = _plan(S.chunks(docs, "doc_id", "md", compat_files=compat))
+        assert "FILE:" not in plan.split("Generate")[0]  # above the generator it would be looked for in every chunk
+    got = {(r.doc_id, r.original_index): (r.page_content.split("\n")[0].strip(), r.file_name) for r in S.chunks(docs, "doc_id", "md", compat_files=True).collect()}
+    lines = text.split("\n")
+    starts = [(i, s[8:].split(" |")[0]) for i, s in enumerate(lines) if s.startswith("# FILE: ")]
+    for (doc, _), (first, file) in got.items():
+        if doc == 1:
+            at = text[: text.index(first)].count("\n")
+            assert file == next((f for i, f in reversed(starts) if i <= at), "a.md"), first
+    assert [f for (d, _), (_, f) in sorted(got.items()) if d == 2] == [None]
+    assert {d for d, _ in got} == {1, 2, 5, 6}
