@@ -385,8 +385,10 @@ def restored(spark, sf):
     rows = boxes(spark, sf).withColumns({"deleted": F.col("category_id") % 2 == 0, "content": F.col("flag")})
     originals = rows.filter("score > 0.2").withColumn("content", F.concat(F.lit("orig "), "flag"))
     found = N.restore_continued(rows, originals, ["page", "box_id", *B.COORDS])
-    shown = N.suppress_restored(found).select("page", "box_id", F.lit(1).alias("shown"))
-    return found.join(shown, ["page", "box_id"], "left").select("page", "box_id", "content", F.col("restored").cast("int").alias("restored"), F.coalesce("shown", F.lit(0)).alias("shown"))
+    # Boxes are shown or not, so the two kinds are put together and not joined with all boxes; one without a page is known by no key.
+    shown = N.suppress_restored(found).withColumn("shown", F.col("page").isNotNull().cast("int"))
+    hidden = found.filter(F.coalesce("deleted", F.lit(True))).withColumn("shown", F.lit(0))
+    return shown.unionByName(hidden).select("page", "box_id", "content", F.col("restored").cast("int").alias("restored"), "shown")
 
 
 @query(

@@ -86,3 +86,23 @@ def test_sections_are_found_once_per_document(spark):
             assert file == next((f for i, f in reversed(starts) if i <= at), "a.md"), first
     assert [f for (d, _), (_, f) in sorted(got.items()) if d == 2] == [None]
     assert {d for d, _ in got} == {1, 2, 5, 6}
+
+
+def test_boxes_travel_once_and_bare(spark):
+    from clausemill.plans.fixtures import boxes
+
+    shape, below = _plan(boxes(spark, SMALL)).split("Window [", 1)
+    below = "\n".join(line for line in below.split("\n")[1:] if "Relation [" not in line)
+    assert " AS " not in below and "l_shipdate" not in below and "AS x0" in shape
+    plan = _plan(QUERIES["l41_restore_continued"](spark, SMALL))
+    assert plan.count("Join ") == 2  # each kind of block with the originals; the kinds are put together
+
+
+def test_restored_blocks_with_odd_keys(spark, tmp_path):
+    load = "/root/testdata/sf0.001/lineitem.parquet"
+    rows = spark.read.parquet(load).limit(300)
+    odd = rows.withColumn("l_partkey", F.when(F.col("l_orderkey") % 7 > 0, F.col("l_partkey") % 9)).withColumn("l_linenumber", F.when(F.col("l_suppkey") % 5 > 0, F.col("l_linenumber")))
+    odd.unionByName(odd.limit(40)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["l41_restore_continued"](spark, str(tmp_path)).collect()
+    assert len(found) == 340 and {r.shown for r in found if r.page is None} == {0} and {r.restored for r in found} == {0, 1}
+    assert all(r.shown == 0 for r in found if r.restored == 1)
