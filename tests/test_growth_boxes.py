@@ -106,3 +106,23 @@ def test_restored_blocks_with_odd_keys(spark, tmp_path):
     found = QUERIES["l41_restore_continued"](spark, str(tmp_path)).collect()
     assert len(found) == 340 and {r.shown for r in found if r.page is None} == {0} and {r.restored for r in found} == {0, 1}
     assert all(r.shown == 0 for r in found if r.restored == 1)
+
+
+def test_owners_read_stored_boxes(spark, monkeypatch):
+    from clausemill.operators import layout_boxes as L
+    from clausemill.plans import q_layout_boxes as Q
+
+    plain, calls, cells = Q.boxes, [], []
+    monkeypatch.setattr(Q, "boxes", lambda *a: calls.append(a) or plain(*a))
+    pairs = L.touching_pairs
+
+    def watched(left, right, page, columns, cell=L.CELL):
+        cells.append((cell, left.selectExpr("max(x1 - x0 - 2 * 99)").first()[0], left.count(), L._cells(left, "", cell).count()))
+        return pairs(left, right, page, columns, cell)
+
+    monkeypatch.setattr(L, "touching_pairs", watched)
+    for name in ("l29_nearest_owner", "l30_relabel_footnotes"):
+        calls.clear()
+        assert QUERIES[name](spark, SMALL).count() > 0
+        assert len(calls) == 1  # every round and kind reads the boxes that were stored once
+    assert cells and all(spread <= 6 * n for _, _, n, spread in cells)
