@@ -209,4 +209,5 @@ select a.doc_id, a.original_index as ancestor_index, c.original_index as descend
   on a.doc_id = c.doc_id and a.structure_path <> '' and starts_with(c.structure_path, a.structure_path || '/')"""),
 )
 def subtree(spark, sf):
-    return S.descendants(cut_lineage(md_chunks(spark, sf)), "doc_id")
+    rows = md_chunks(spark, sf).select("doc_id", "original_index", "structure_path")  # the rest need not be stored
+    return S.descendants(cut_lineage(rows), "doc_id")

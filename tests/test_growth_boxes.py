@@ -126,3 +126,12 @@ def test_owners_read_stored_boxes(spark, monkeypatch):
         assert QUERIES[name](spark, SMALL).count() > 0
         assert len(calls) == 1  # every round and kind reads the boxes that were stored once
     assert cells and all(spread <= 6 * n for _, _, n, spread in cells)
+
+
+def test_subtrees_store_paths_only(spark, monkeypatch):
+    from clausemill.plans import q_structure as Q
+
+    seen = []
+    _watch(monkeypatch, Q, seen)
+    assert QUERIES["d14_subtree"](spark, SMALL).count() > 0
+    assert [df.columns for df, _ in seen] == [["doc_id", "original_index", "structure_path"]]
