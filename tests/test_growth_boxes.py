@@ -135,3 +135,32 @@ def test_subtrees_store_paths_only(spark, monkeypatch):
     _watch(monkeypatch, Q, seen)
     assert QUERIES["d14_subtree"](spark, SMALL).count() > 0
     assert [df.columns for df, _ in seen] == [["doc_id", "original_index", "structure_path"]]
+
+
+def test_hulls_look_up_linked_boxes_only(spark):
+    from clausemill.operators import layout_boxes as L
+
+    gen, rows = random.Random(3), []
+    for page in (1, 2):
+        for i in range(40):
+            x, y = gen.randint(0, 60) * 3, gen.randint(0, 5) * 20
+            rows.append((page, i, x, y, x + 50, y + 14, 0.5))
+    rows += [(None, 1, 0, 0, 50, 14, 0.5), (None, 2, 0, 0, 50, 14, 0.5), (3, 1, 0, 0, 50, 14, 0.5), (3, 1, 0, 0, 50, 14, 0.5)]
+    found = L.union_tables(spark.createDataFrame(rows, SCHEMA), "page")
+    assert _plan(found).count("Join ") == 1
+    want = {}
+    for page in (1, 2):
+        own = [r for r in rows if r[0] == page]
+        label = {r[1]: r[1] for r in own}
+        for _ in own:
+            for a in own:
+                for b in own:
+                    w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+                    if w > 0 and h > 0 and w * h / (2 * 50 * 14 - w * h) > 0.7:
+                        label[a[1]] = min(label[a[1]], label[b[1]])
+        for r in own:
+            want.setdefault((page, label[r[1]]), []).append(r)
+    hulls = {(*k, min(r[2] for r in v), min(r[3] for r in v), max(r[4] for r in v), max(r[5] for r in v), len(v)) for k, v in want.items()}
+    # Rows without a page have no key; a box that is given twice counts with each of its rows.
+    assert set(map(tuple, found.select("page", "box_id", "x0", "y0", "x1", "y1", "n_boxes").collect())) == hulls | {(3, 1, 0, 0, 50, 14, 4)}
+    assert len(hulls) < 80
